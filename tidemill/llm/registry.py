@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op4_packing
 from .simhash import op5_simhash
 from .substring_dedup import op1_substring_dedup
 
@@ -13,6 +14,7 @@ from .substring_dedup import op1_substring_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
     }
 
