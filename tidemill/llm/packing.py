@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import os
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,71 +22,58 @@ CLASSES = 256
 #: Tokens that one packing step ranks and packs together, and shortest piece cut to fill a gap.
 STEP_TOKENS, LEAST_PIECE = 12_000_000, 64
 CHUNK_BYTES = 1 << 20
-KNOWN_UNITS = 250_000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """Token ids as little-endian bytes, encoded unit by unit and remembered.
+    """Token ids of whole texts as little-endian bytes.
 
-    Byte-level pre-tokenization never joins characters across a single space or newline
-    between two other characters, but for the space that opens a word. So texts made of such
-    units are the concatenation of their units' ids; any other text is encoded whole.
+    The fast path reads the vocabulary as ranks, which give the same ids; a text that spells
+    out a special token goes to the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: tuple[dict, dict] = ({}, {})
-        self.newline = self.pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
-
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def learn(self, units: set[str], spaced: int) -> None:
-        known = self.known[spaced]
-        new = list(units - known.keys())
-        if len(known) + len(new) > KNOWN_UNITS:
-            known.clear()
-            new = list(units)
-        found = self.tokenizer.encode_batch([" " * spaced + u for u in new], add_special_tokens=False)
-        # None: white space at an edge, or an empty unit, needs its neighbours.
-        known.update((u, self.pack(e.ids) if u and u.strip() == u else None) for u, e in zip(new, found))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        self.learn({line[0] for lines in split for line in lines}, 0)
-        self.learn({u for lines in split for line in lines for u in line[1:]}, 1)
-        first, later = (k.__getitem__ for k in self.known)
-        out = []
-        for text, lines in zip(texts, split):
-            try:
-                out.append(self.newline.join([first(line[0]) + b"".join(map(later, line[1:])) for line in lines]))
-            except TypeError:
-                out.append(self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
-        return out
-
-
-def _tokens(path: str):
+
+    def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.append(np.asarray(ids, self.kind), np.array([END_ID], self.kind)).tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder_for(vocabulary: str) -> Encoder:
+    """One encoder for each Python worker."""
+    return Encoder(vocabulary)
+
+
+def _tokens(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        end = encoder.pack([END_ID])
-        size = len(end)
+        encoder = encoder_for(vocabulary)
+        size = np.dtype(encoder.kind).itemsize
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            ids = [x + end for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
+            ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([size] * len(ids), pa.int32())], ["doc_id", "n_tokens", "ids", "id_bytes"])
 
     return run
 
 
-def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k") -> DataFrame:
     """(doc_id, n_tokens, ids, id_bytes): each text's ids and the end id, packed little-endian."""
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_tokens(tokenizer or public_tokenizers.path("byte_bpe_50k.json")), "doc_id long, n_tokens long, ids binary, id_bytes int")
+    return docs.mapInArrow(_tokens(vocabulary), "doc_id long, n_tokens long, ids binary, id_bytes int")
 
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -235,7 +223,7 @@ def _packed(patterns: list, total: int, room: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = 2048, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = 2048, vocabulary: str = "byte_bpe_50k") -> DataFrame:
     """Pack all documents into sequences of at most ``room`` tokens.
 
     Texts are encoded once and written to the shared folder. Only the histogram of remainder
@@ -249,7 +237,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room:
     """
     if room % CLASSES:
         raise ValueError(f"the sequence length must be a multiple of {CLASSES}")
-    tokens = materialise(tokenize(docs, id_col, text_col, tokenizer), "tokens")
+    tokens = materialise(tokenize(docs, id_col, text_col, vocabulary), "tokens")
     rest = F.ceil(F.col("n_tokens") % room / (room // CLASSES)).cast("int")
     counted = tokens.groupBy(rest.alias("class")).count().collect()
     patterns = cutting_patterns({r["class"]: r["count"] for r in counted if r["class"]})
