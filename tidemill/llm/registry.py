@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op4_packing
+from .quality import op9_quality
 from .secrets import op10_secrets
 from .simhash import op5_simhash
 from .substring_dedup import op1_substring_dedup
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
+        "op9_quality": op9_quality,
         "op10_secrets": op10_secrets,
     }
 
