@@ -17,6 +17,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 #: Text bytes that one map step hashes together, one window bucket covers, one document block holds.
 CHUNK_BYTES, BUCKET_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20, 4 << 20
 LEAST_BUCKETS = 256
+KNOWN_WORDS = 100_000
 #: Spread ids over blocks; the product stays below 2**63.
 MIX_MODULUS, MIX_FACTOR = 2147483647, 2654435761
 
@@ -25,6 +26,11 @@ MARK_SCHEMA = "block long, ids binary, starts binary"
 RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept_text string"
 
 
+def word_hashes(text: str, memo: Memo) -> np.ndarray:
+    words = text.encode().split()
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+
+
 def rolling_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Polynomial hash of every run of ``width`` word hashes, by joining runs of doubled length."""
     def joined(a: np.ndarray, b: np.ndarray, a_len: int, b_len: int) -> np.ndarray:
@@ -43,8 +49,8 @@ def rolling_hashes(words: np.ndarray, width: int) -> np.ndarray:
 def window_positions(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of documents laid end to end: document index, start in it and place of every window."""
     windows = np.maximum(counts - width + 1, 0)
-    doc = np.repeat(np.arange(len(counts)), windows)
-    start = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), windows)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
     return doc, start, np.repeat(np.cumsum(counts) - counts, windows) + start
 
 
@@ -64,28 +70,26 @@ def first_of_equal(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> t
 
 def _windows(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(xxhash.xxh3_64_intdigest)
+        memo = Memo(xxhash.xxh3_64_intdigest, KNOWN_WORDS)
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            split = [t.encode().split() for t in batch.column("text").to_pylist()]
-            counts = np.array([len(x) for x in split])
-            doc, start, place = window_positions(counts, width)
+            hashed = [word_hashes(t, memo) for t in batch.column("text").to_pylist()]
+            doc, start, place = window_positions(np.array([len(x) for x in hashed]), width)
             if not len(doc):
                 continue
-            words = np.fromiter((memo[w] for x in split for w in x), np.uint64, int(counts.sum()))
-            del split
-            hashes = rolling_hashes(words, width)[place]
+            hashes = rolling_hashes(np.concatenate(hashed), width)[place]
             ids = batch.column("doc_id").to_numpy()[doc]
+            del hashed, doc, place
             first, later = first_of_equal(hashes, ids, start)
             first.sort()
             later.sort()
             # Windows known to be late need no more comparing: they ride along in one bucket.
-            rows = [(int(hashes[first[0]] % np.uint64(buckets)), b"", squeeze(ids[later]), squeeze(start[later].astype(np.int32)), True)] if len(later) else []
+            rows = [(int(hashes[first[0]] % np.uint64(buckets)), b"", squeeze(ids[later]), squeeze(start[later]), True)] if len(later) else []
             bucket = (hashes[first] % np.uint64(buckets)).astype(np.int64)
             order = first[np.argsort(bucket, kind="stable")]
             ends = np.cumsum(np.bincount(bucket, minlength=buckets))
             for b in np.unique(bucket):
                 part = order[ends[b - 1] if b else 0 : ends[b]]
-                rows.append((int(b), hashes[part].tobytes(), squeeze(ids[part]), squeeze(start[part].astype(np.int32)), False))
+                rows.append((int(b), hashes[part].tobytes(), squeeze(ids[part]), squeeze(start[part]), False))
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()))], ["bucket", "hashes", "ids", "starts", "known"])
 
