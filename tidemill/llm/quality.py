@@ -24,14 +24,18 @@ N = len(CLASSES) + 1
 CLASS_OF = np.full(256, N - 1, np.int32)
 for _k, _members in enumerate(CLASSES):
     CLASS_OF[list(_members)] = _k
-WIDTH = N * N + 2
+WIDTH = N * N + 3
+#: Separators end a word; odd multipliers tell its bytes' places apart.
+SEPARATORS = np.zeros(256, bool)
+SEPARATORS[list(b" \t\r\n\x0b\x0c")] = True
+PLACE = np.random.default_rng(3).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of all passages, and how many passages each text has (at least one).
 
-    A passage is encoded by the frequencies of neighbouring byte classes, its length and how
-    many of its bytes continue an upper-case word with another one.
+    A passage is encoded by the frequencies of neighbouring byte classes, its length, whether
+    it is empty, and the share of its words that repeat the word before.
     """
     raw = [(t or "").encode() for t in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
@@ -48,11 +52,28 @@ def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     length = np.bincount(passage, minlength=total)
     features = np.empty((total, WIDTH), np.float32)
     features[:, : N * N] = np.sqrt(hits / np.maximum(1, length)[:, None])
-    features[:, -2] = length / PASSAGE
-    features[:, -1] = length == 0
+    features[:, -3] = length / PASSAGE
+    features[:, -2] = length == 0
+    features[:, -1] = repeated_words(joined, doc, passage, total)
     return features, counts
 
 
+def repeated_words(joined: np.ndarray, doc: np.ndarray, passage: np.ndarray, total: int) -> np.ndarray:
+    """Share of each passage's words that equal the word before in the same text."""
+    inside = ~SEPARATORS[joined]
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1] | (doc[1:] != doc[:-1])
+    starts = np.flatnonzero(opens)
+    if not len(starts):
+        return np.zeros(total)
+    at = np.arange(len(joined)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(joined)]))
+    hashes = np.add.reduceat(joined * PLACE[at & 63] * inside, starts)
+    same = np.zeros(len(starts), bool)
+    same[1:] = (hashes[1:] == hashes[:-1]) & (doc[starts[1:]] == doc[starts[:-1]])
+    words = np.bincount(passage[starts], minlength=total)
+    return np.bincount(passage[starts], same, total) / np.maximum(1, words)
+
+
 class Model:
     """Hidden passage representation, gated attention over passages, logistic document score."""
 
