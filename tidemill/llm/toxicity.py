@@ -129,8 +129,10 @@ class Voters:
         return toxic, mined & ~toxic
 
 
-#: One set of voters, and one classifier, for each Python worker.
-voters_of = lru_cache(maxsize=1)(Voters)
+@lru_cache(maxsize=1)
+def voters_of(mined: bytes) -> Voters:
+    """One set of voters for each Python worker."""
+    return Voters(mined)
 
 
 def label_model(patterns: list[tuple[int, int, int]], seen: dict[tuple[int, int], tuple[float, int]], rounds: int = 50) -> dict[tuple[int, int], float]:
@@ -226,7 +228,10 @@ class Linear:
         return round(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), 9)
 
 
-linear_of = lru_cache(maxsize=1)(Linear)
+@lru_cache(maxsize=1)
+def linear_of(model: bytes) -> Linear:
+    """One classifier for each Python worker."""
+    return Linear(model)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> bytes | None:
