@@ -13,11 +13,13 @@ from .secrets import op10_secrets
 from .simhash import op5_simhash
 from .substring_dedup import op1_substring_dedup
 from .toxicity import op3_toxicity
+from .warc import op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_warc": op2_warc,
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
