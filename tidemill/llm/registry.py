@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op6_ann
 from .flac import op8_flac
 from .packing import op4_packing
 from .quality import op9_quality
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
+        "op6_ann": op6_ann,
         "op8_flac": op8_flac,
         "op9_quality": op9_quality,
         "op10_secrets": op10_secrets,
