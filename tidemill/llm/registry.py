@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op6_ann
 from .flac import op8_flac
+from .mixing import op7_mixing
 from .packing import op4_packing
 from .quality import op9_quality
 from .secrets import op10_secrets
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
         "op6_ann": op6_ann,
+        "op7_mixing": op7_mixing,
         "op8_flac": op8_flac,
         "op9_quality": op9_quality,
         "op10_secrets": op10_secrets,
