@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op6_ann
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_flac": op8_flac,
         "op9_quality": op9_quality,
         "op10_secrets": op10_secrets,
+        "pipeline": corpus_pipeline.run,
     }
 
 
