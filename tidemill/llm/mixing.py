@@ -16,7 +16,7 @@ TARGETS = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
 #: Labelled documents whose words are mined at most, size of the lexicon, texts and precision a word needs.
 MOST_LABELLED, MOST_WORDS, LEAST_TEXTS, PRECISION = 4000, 300, 3, 0.8
 #: Pull of rates to one, relative error at which the gradient ends, most steps.
-PULL, CLOSE, MOST_STEPS = 1e-3, 1e-6, 200
+PULL, CLOSE, MOST_STEPS = 1e-3, 1e-5, 60
 
 #: Upper ends of each feature's bins; the last bin is open.
 BINS = {"shouts": (0.02, 0.2), "pipes": (0.02, 0.2), "symbols": (0.02, 0.2), "distinct": (0.15, 0.3, 0.5, 0.7), "suspects": (0.5, 1.5)}
@@ -94,27 +94,43 @@ def rate_after(history: list[list[float]]) -> Column:
     return F.aggregate(steps, rate, lambda r, g: F.greatest(F.lit(0.0), r - pulled(r, g) / (1 + PULL)))
 
 
+def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """Gauss-Jordan elimination of a small positive definite system."""
+    rows = [[*row, r] for row, r in zip(matrix, right)]
+    for i, row in enumerate(rows):
+        rows[i] = row = [v / row[i] for v in row]
+        rows = [row if j == i else [v - other[i] * w for v, w in zip(other, row)] for j, other in enumerate(rows)]
+    return [row[-1] for row in rows]
+
+
 def fit_rates(cells: DataFrame, targets: dict[str, float]) -> list[list[float]]:
     """Gradients of all steps of projected-gradient least squares.
 
     ``cells`` has the posteriors p_<domain> and the tokens n of each. A step sums the expected
-    tokens of each domain at the current rates over all cells; only those sums reach the driver. Scaled by
-    each domain's own tokens, the squared error has curvature of at most one, so a step of
-    one over that (and the pull) converges.
+    tokens of each domain at the current rates over all cells; only those sums reach the
+    driver. Errors are weighed by the inverse of the domains' joint token mass, so that the
+    squared error has curvature of at most one: steps of one over that (and the pull) converge,
+    and a single one ends it where no rate meets zero.
     """
     names = list(DOMAINS)
-    masses = cells.agg(*[F.sum(F.col("n") * F.col(f"p_{d}")).alias(d) for d in names], F.sum("n").alias("n")).first()
-    if not masses["n"]:
+    p = {d: F.col(f"p_{d}") for d in names}
+    joint = cells.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * p[a] * p[b]).alias(f"{a}_{b}") for a in names for b in names]).first()
+    if not joint["n"]:
         return []
-    wanted = {d: targets[d] / sum(targets.values()) * masses["n"] for d in names}
+    total = joint["n"]
+    mass = [[joint[f"{a}_{b}"] + (1e-6 * total if a == b else 0) for b in names] for a in names]
+    wanted = [targets[d] / sum(targets.values()) * total for d in names]
     history: list[list[float]] = []
+    before = None
     for _ in range(MOST_STEPS):
-        had = cells.select("n", *[f"p_{d}" for d in names], rate_after(history).alias("rate"))
-        sums = had.agg(*[F.sum(F.col("n") * F.col("rate") * F.col(f"p_{d}")).alias(d) for d in names]).first()
-        error = [(sums[d] - wanted[d]) / max(masses[d], 1e-9) for d in names]
-        if max(abs(sums[d] - wanted[d]) for d in names) <= CLOSE * masses["n"] or history and max(abs(a - b) for a, b in zip(error, history[-1])) < 1e-9:
+        had = cells.select("n", *p.values(), rate_after(history).alias("rate"))
+        sums = had.agg(*[F.sum(F.col("n") * F.col("rate") * p[d]).alias(d) for d in names]).first()
+        error = [sums[d] - w for d, w in zip(names, wanted)]
+        change = max(map(abs, error if before is None else [a - b for a, b in zip(error, before)]))
+        if max(map(abs, error)) <= CLOSE * total or change <= CLOSE * total:
             break
-        history.append(error)
+        history.append(solved(mass, error))
+        before = error
     return history
 
 
