@@ -136,7 +136,7 @@ def q20(spark, sf_dir):
     return blocks.sequence_gaps(v.block_copies(spark, sf_dir).where("replica = 0"))
 
 
-@query("q21_file_concat", f"select file, segment, sum(length) over (partition by file order by segment) - length as start, length, sha1(data) as sha1 from (select file, (pos - 1) // 256 as segment, string_agg(data, '' order by pos) as data, strlen(string_agg(data, '' order by pos)) as length from ({v.MERGED}) group by 1, 2)")
+@query("q21_file_concat", f"select file, segment, (sum(length) over (partition by file order by segment) - length)::bigint as start, length, sha1(data) as sha1 from (select file, (pos - 1) // 256 as segment, string_agg(data, '' order by pos) as data, strlen(string_agg(data, '' order by pos)) as length from ({v.MERGED}) group by 1, 2)")
 def q21(spark, sf_dir):
     return blocks.content(blocks.merged(v.block_copies(spark, sf_dir))).select("file", "segment", "start", "length", F.sha1("data").alias("sha1"))
 
