@@ -35,5 +35,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Late windows by their words themselves; a document keeps the words that none covers.
+REPEATS_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as t from (select doc_id, w, unnest(generate_series(1, len(w) - 19)) as i from d)),
+late as (select doc_id, i from (select doc_id, i, row_number() over (partition by t order by doc_id, i) as n from windows) where n > 1),
+gone as (select doc_id, list(distinct i + k) as places from late, generate_series(0, 19) g(k) group by doc_id),
+kept as (select doc_id, w, places, case when places is null then w else [w[j] for j in generate_series(1, len(w)) if not list_contains(places, j)] end as k from d left join gone using (doc_id))
+select doc_id, len(w)::bigint as n_words, coalesce(len(places), 0)::bigint as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
+"""
+
+ARCHIVES_SQL = """
+with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+q as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) else page_id end as kept from p)
+select page_id, payload_bytes, payload_digest, case when page_id = kept then 'response' else 'revisit' end as record_type, case when page_id <> kept then kept end as refers_to from q
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": REPEATS_SQL, "op2_warc": ARCHIVES_SQL}
