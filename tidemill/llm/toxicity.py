@@ -76,21 +76,28 @@ def _distinct_texts(sample: pa.Table) -> tuple[list[int], list[np.ndarray], np.n
     return [r[0] for r in kept], [r[1] for r in kept], np.array([r[2] for r in kept])
 
 
+def among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Indexes in the sorted ``values`` of those of ``found`` that are there."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+    return at[values[at] == found]
+
+
 def mine(sample: pa.Table) -> bytes:
     """Lexicon hashes of the mined voters, from different labelled texts: counted in half of them each."""
     hashes, features, labels = _distinct_texts(sample)
     even = np.array([h % 2 == 0 for h in hashes], bool)
 
     def lexicon(chosen: np.ndarray) -> np.ndarray:
-        picked = [np.unique(features[i]) for i in np.flatnonzero(chosen)]
-        toxic = [f for f, i in zip(picked, np.flatnonzero(chosen)) if labels[i] >= 0.5]
+        toxic = [np.unique(features[i]) for i in np.flatnonzero(chosen & (labels >= 0.5))]
         if not toxic:
             return np.zeros(0, np.uint64)
         values, count = np.unique(np.concatenate(toxic), return_counts=True)
         values, count = values[count >= LEAST_TEXTS], count[count >= LEAST_TEXTS]
-        everywhere = np.concatenate(picked)
-        everywhere = everywhere[np.isin(everywhere, values)]
-        total = np.bincount(np.searchsorted(values, everywhere), minlength=len(values))
+        total = np.zeros(len(values), np.int64)
+        for i in np.flatnonzero(chosen):
+            total[np.unique(among(values, features[i]))] += 1
         sure = (count + 0.5) / (total + 1) >= PRECISION
         order = np.lexsort((values[sure], -count[sure]))[:MOST_WORDS]
         return values[sure][order]
@@ -183,14 +190,19 @@ def train_linear(sample: pa.Table) -> bytes:
     whose texts are mostly toxic by posterior; the L1 term keeps few of them.
     """
     hashes, features, y = _distinct_texts(sample)
-    doc = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    flat = np.concatenate(features) if features else np.zeros(0, np.uint64)
-    values, where = np.unique(flat, return_inverse=True)
-    once = np.unique(doc * len(values) + where)
-    texts = np.bincount(once % max(1, len(values)), minlength=len(values))
-    toxic = np.bincount(once % max(1, len(values)), y[once // max(1, len(values))], len(values))
-    sure = np.flatnonzero((texts >= LEAST_TEXTS) & (toxic >= 0.5 * texts))
+    likely = [np.unique(f) for f, label in zip(features, y) if label >= 0.5]
+    values, texts = np.unique(np.concatenate(likely or [np.zeros(0, np.uint64)]), return_counts=True)
+    values = values[texts >= LEAST_TEXTS]
+    places = [among(values, f) for f in features]
+    texts, toxic = np.zeros(len(values)), np.zeros(len(values))
+    for held, label in zip(places, y):
+        own = np.unique(held)
+        texts[own] += 1
+        toxic[own] += label
+    sure = np.flatnonzero(toxic >= 0.5 * texts)
     keep = sure[np.lexsort((values[sure], -toxic[sure]))][:MOST_FEATURES]
+    doc = np.repeat(np.arange(len(places)), [len(f) for f in places])
+    where = np.concatenate(places or [np.zeros(0, np.int64)])
     column = np.full(len(values), -1)
     column[keep] = np.arange(len(keep))
     used = column[where] >= 0
