@@ -206,8 +206,8 @@ def test_weak_parts_need_complements():
 
 
 def test_masking(spark, odd):
-    df = spark.createDataFrame([(TRICKY,), ("plain",), (None,)], "text string").withColumn("s", secrets.secret_spans("text"))
-    got = [r["m"] for r in df.select(secrets.masked("text", "s").alias("m")).collect()]
+    df = spark.createDataFrame([(TRICKY,), ("plain",), (None,)], "text string")
+    got = [r["m"] for r in df.select(secrets.masked("text").alias("m")).collect()]
     assert got[1:] == ["plain", None] and "hunter2" not in got[0] and got[0].startswith("é [SECRET]")
     assert odd.toDF(*[f"c{i}" for i in range(9)]).select(secrets.secret_spans("c1").alias("s")).where("size(s) > 0").count() == 0
 

@@ -103,21 +103,21 @@ def secret_spans(text: Column | str, scope: int = SCOPE) -> Column:
     return spans(text)
 
 
-def masked(text: Column | str, spans: Column | str, mark: str = "[SECRET]") -> Column:
+def masked(text: Column | str, scope: int = SCOPE, mark: str = "[SECRET]") -> Column:
     """Each text with every span, overlapping ones together, replaced by ``mark``; null stays null."""
 
     @F.arrow_udf("string")
-    def mask(texts: pa.Array, found: pa.Array) -> pa.Array:
+    def mask(texts: pa.Array) -> pa.Array:
         out = []
-        for t, held in zip(texts, found):
+        for t in texts:
             t = t.as_py()
-            spans = merged(sorted((s["start"], s["stop"]) for s in held.as_py() or ()))
-            if t is not None and spans:
+            spans = merged(sorted((a, b) for _, a, b in linked_spans(t, scope)))
+            if spans:
                 t = t[: spans[0][0]] + "".join(mark + t[b:c] for (_, b), c in zip(spans, [a for a, _ in spans[1:]] + [len(t)]))
             out.append(t)
         return pa.array(out, pa.string())
 
-    return mask(text, spans)
+    return mask(text)
 
 
 def listed(spans: Column) -> Column:
