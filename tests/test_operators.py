@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import blocks, grep, members, rates, ring, tuples
+from tidemill.operators import blocks, catalog, grep, members, rates, ring, tuples
 from tidemill.sources import files
 
 REPLICAS = 3
@@ -41,6 +41,11 @@ def test_dispatch_fails_while_planning(spark):
 def test_external_program(spark):
     out = tuples.external(kv(spark, "b a", "c"), ["tr", "a-c", "A-C"])
     assert rows(out) == [("k0", "B A"), ("k1", "C")]
+    own = tuples.external(kv(spark, "b", "c"), ["cut", "-f2"], per_tuple=True)
+    assert rows(own) == [("k0", "b"), ("k1", "c")]
+    assert rows(tuples.external(kv(spark, "b", "c"), ["cut", "-f2"])) == [("", "b"), ("", "c")]
+    with pytest.raises(Exception, match="non-zero exit"):
+        tuples.external(kv(spark, "b"), ["false"]).collect()
 
 
 def lines(spark, *texts):
@@ -134,3 +139,27 @@ def test_literal_filter_reaches_the_scan(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "StringContains(value,a)" in plan and "line_num" not in plan.split("ReadSchema")[1]
     assert df.select(F.count("*")).first()[0] == 1
+
+
+def test_catalog(spark, tmp_path):
+    path = str(tmp_path / "files")
+    df = lambda *r: spark.createDataFrame(list(r), "file string, block_id int, data string")
+    catalog.replace_blocks(df(("f", 1, "a"), ("g", 2, "b")), path)
+    catalog.replace_blocks(df(("f", 3, "c")), path)
+    held = spark.read.parquet(path).select("file", "block_id")
+    assert rows(held) == [("f", 3), ("g", 2)]
+    assert rows(catalog.without_files(held, df(("f", 0, "")))) == [("g", 2)]
+    assert rows(catalog.existing(df(("f", 9, ""), ("h", 9, "")), held).select("file")) == [("f",)]
+    listed = spark.createDataFrame([(1,), (2,)], "block_id int")
+    assert rows(catalog.stored_blocks(listed, df(("f", 1, "a")))) == [(1, "a")]
+    hosts = spark.createDataFrame([("a", "1"), ("x", "2"), ("y", "3")], "host string, ip string")
+    vms = spark.createDataFrame([(1, "a", "9"), (2, "b", "2")], "vm int, hostname string, ip string")
+    assert {(r["host"], r["vm"]) for r in catalog.own_machine(hosts, vms).collect()} == {("a", 1), ("x", 2), ("y", None)}
+
+
+def test_positional_zip(spark):
+    a = spark.createDataFrame([(2, "y"), (1, "x")], "i int, v string")
+    b = spark.createDataFrame([(5, "p"), (7, "q")], "i int, v string")
+    assert [(r["left"]["v"], r["right"]["v"]) for r in catalog.zipped(a, b, "i", "i").orderBy("position").collect()] == [("x", "p"), ("y", "q")]
+    with pytest.raises(Exception, match="differ in length"):
+        catalog.zipped(a, b.limit(1), "i", "i").collect()

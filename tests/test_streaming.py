@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import tuples
@@ -23,6 +24,15 @@ def test_ids_are_remembered_across_restarts(spark, tmp_path):
     assert sorted(r["tuple_id"] for r in done.collect()) == [1, 3]
 
 
+def test_pipelines_from_texts(spark):
+    df = spark.createDataFrame([("k", "a,b,c,d"), ("k", "x,y")], "key string, value string")
+    done = runs.Pipeline.parse("filter:a", "transform", stages=2).apply(df)
+    assert [r["value"] for r in done.collect()] == ["a,b,c"]
+    with pytest.raises(ValueError):
+        runs.Pipeline.parse("identity", stages=2)
+    assert runs.active(spark) == [] and not runs.stop(spark, "none")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     src = str(tmp_path / "src")
     for i in range(3):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_field
-from ..operators import blocks, grep, members, rates, ring, tuples
+from ..operators import blocks, catalog, grep, members, rates, ring, tuples
 from ..streaming import runs
 from . import views as v
 
@@ -280,6 +280,50 @@ def q41(spark, sf_dir):
     return summed.select("event_type", "ts", (F.col("count") - F.lag("count", 1, 0).over(w)).alias("gained"))
 
 
+@query("q42_files_on_node", f"select file, substr(sha1(file), 1, 16) as file_id from ({v.placement_sql()}) where node = (select min(s_name) from supplier)")
+def q42(spark, sf_dir):
+    nodes = v.ring_nodes(spark, sf_dir)
+    return catalog.files_on(ring.placement(v.ring_files(spark, sf_dir), nodes), nodes.agg(F.min("node")).first()[0] or "")
+
+
+@query("q43_replicas_of_file", f"select file, substr(sha1(file), 1, 16) as file_id, node, sha1(node) as node_pos, replica from ({v.placement_sql()}) where file = (select min(c_name) from customer)")
+def q43(spark, sf_dir):
+    files = v.ring_files(spark, sf_dir)
+    return catalog.replicas_of(ring.placement(files, v.ring_nodes(spark, sf_dir)), files.agg(F.min("file")).first()[0] or "")
+
+
+@query("q44_members_by_position", f"select host, sha1(cast(host as varchar)) as node_pos, row_number() over (order by sha1(cast(host as varchar))) - 1 as rank from ({v.MEMBER_LATEST}) where status in ('ACTIVE', 'JOINING')")
+def q44(spark, sf_dir):
+    latest = members.merge_versions(v.member_updates(spark, sf_dir), "status")
+    return catalog.members_by_position(latest).select("host", "node_pos", "rank")
+
+
+@query("q45_client_sequences", f"select client, min(seq) as first, max(seq) as last, count(distinct seq) as n from ({v.BLOCK_COPIES}) where replica = 0 group by 1")
+def q45(spark, sf_dir):
+    return catalog.sequences(v.block_copies(spark, sf_dir).where("replica = 0"))
+
+
+@query("q46_response_tally", "select count(*) filter (n % 3 <> 0) as answered, count(*) filter (n % 3 = 0) as failed, coalesce(sum(n) filter (n % 3 <> 0), 0)::bigint as count from (select source, count(*) as n from documents group by 1)")
+def q46(spark, sf_dir):
+    hosts = v.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("vm")).count()
+    answers = hosts.withColumn("error", F.when(F.col("count") % 3 == 0, "no answer"))
+    return catalog.tally(answers).select("answered", "failed", "count")
+
+
+@query("q47_read_my_writes", "select distinct event_type as file from events where event_type not in (select event_type from events where user_id = 3 and day(ts) = 1)")
+def q47(spark, sf_dir):
+    events = v.table(spark, sf_dir, "events")
+    files = events.select(F.col("event_type").alias("file")).distinct()
+    pending = events.where((F.dayofmonth("ts") == 1)).select(F.col("event_type").alias("file"), F.col("user_id").cast("string").alias("client"))
+    return catalog.readable(files, pending, "3")
+
+
+@query("q48_sampled_peers", "select event_type, host from (select event_type, user_id as host, row_number() over (partition by event_type order by sha1('7:' || cast(user_id as varchar)), user_id) as rn from (select distinct event_type, user_id from events)) where rn <= 3")
+def q48(spark, sf_dir):
+    peers = v.table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("host")).distinct()
+    return catalog.sampled(peers, 3, "event_type").select("event_type", "host")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import legacy_args
+from ..operators.tuples import apply_operator
+
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name in the cluster's shared folder; a temporary one where none is named."""
@@ -105,6 +109,14 @@ class Pipeline:
     def __init__(self, *stages: Callable[[DataFrame], DataFrame]):
         self.stages = stages
 
+    @classmethod
+    def parse(cls, *specs: str, stages: int | None = None) -> Pipeline:
+        """Stages from ``operator:arguments`` texts; their number must be ``stages`` if given."""
+        if stages is not None and stages != len(specs):
+            raise ValueError(f"{stages} stages were declared, {len(specs)} operators given")
+        parsed = [legacy_args(spec) for spec in specs]
+        return cls(*[partial(apply_operator, name=name, args=args) for name, args in parsed])
+
     def apply(self, df: DataFrame) -> DataFrame:
         for stage in self.stages:
             df = stage(df)
@@ -115,6 +127,19 @@ class Pipeline:
         return run_to_end(self.apply(exactly_once(source, ids) if ids else source), "append", checkpoint, dest)
 
 
+def active(spark: SparkSession) -> list[dict]:
+    """Running queries, by id and name."""
+    return [{"id": q.id, "name": q.name, "active": q.isActive} for q in spark.streams.active]
+
+
+def stop(spark: SparkSession, query_id: str) -> bool:
+    """Stop a running query; whether there was one."""
+    query = next((q for q in spark.streams.active if q.id == query_id), None)
+    if query:
+        query.stop()
+    return query is not None
+
+
 def progress(query) -> list[dict]:
     """Input and processing rates of a query's batches so far."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "input_rate": p["inputRowsPerSecond"], "rate": p["processedRowsPerSecond"]} for p in query.recentProgress]
