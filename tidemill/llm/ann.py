@@ -14,7 +14,7 @@ from .common import materialise, pick, table
 from .training import fit_in_task
 
 #: Vectors in the fit at most, rows of a part and of a block, most parts.
-MOST_SAMPLED, PART_ROWS, BLOCK_ROWS, MOST_PARTS = 8000, 3000, 4000, 1024
+MOST_SAMPLED, PART_ROWS, BLOCK_ROWS, MOST_PARTS = 8000, 3000, 1000, 1024
 #: Neighbours in the graph, slack of a part, refinement rounds, recall to reach on the sample.
 GRAPH, SLACK, PASSES, AIM = 10, 1.1, 6, 0.985
 HIDDEN, EPOCHS, BATCH, RATE = 64, 60, 256, 0.01
