@@ -16,7 +16,7 @@ TARGETS = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
 #: Labelled documents whose words are mined at most, size of the lexicon, texts and precision a word needs.
 MOST_LABELLED, MOST_WORDS, LEAST_TEXTS, PRECISION = 4000, 300, 3, 0.8
 #: Pull of rates to one, relative error at which the gradient ends, most steps.
-PULL, CLOSE, MOST_STEPS = 1e-3, 1e-5, 60
+PULL, CLOSE, MOST_STEPS = 1e-3, 1e-5, 40
 
 #: Upper ends of each feature's bins; the last bin is open.
 BINS = {"shouts": (0.02, 0.2), "pipes": (0.02, 0.2), "symbols": (0.02, 0.2), "distinct": (0.15, 0.3, 0.5, 0.7), "suspects": (0.5, 1.5)}
@@ -152,9 +152,10 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality is not null and toxic is not null")
     features = materialise(featured(docs, mine_words(docs, labels, MOST_LABELLED)), "mixing-features")
     posterior = [p.alias(f"p_{d}") for p, d in zip(membership(features, labels), DOMAINS)]
-    cells = features.groupBy(*BINS).agg(F.sum("n_tokens").alias("n"))
-    history = fit_rates(materialise(cells.select("n", *posterior), "mixing-cells"), targets)
-    found = features.select("doc_id", "n_tokens", *posterior).withColumn("rate", rate_after(history))
+    cells = materialise(features.groupBy(*BINS).agg(F.sum("n_tokens").alias("n")).select(*BINS, "n", *posterior), "mixing-cells")
+    rated = cells.select(*BINS, *[f"p_{d}" for d in DOMAINS], F.round(rate_after(fit_rates(cells, targets)), 9).alias("rate"))
+    # At most as many cells as the bins have combinations, whatever the number of documents.
+    found = features.join(F.broadcast(rated), list(BINS)).select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate")
     uniform = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
     return found.withColumn("copies", F.floor(F.col("rate") + uniform).cast("int"))
 
