@@ -117,6 +117,26 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_similar_texts(spark, odd, empty):
+    random = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(60):
+        text = list(random.choice(words, int(random.integers(60, 400))))
+        for copy in range(4):
+            if copy:
+                text = text.copy()
+                text[int(random.integers(len(text)))] = "changed"
+            rows.append((len(rows), " ".join(text)))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 200 and sum(found[i] == found[j] for i, j in near) >= 0.95 * len(near)
+    assert all(i // 4 == c // 4 for i, c in found.items())  # no link between groups
+    texts = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(odd).collect()}
+    assert texts == {1: 1, 2: 2, 3: 2, 4: 2, 5: 1, 6: 6, 7: 7, 8: 7, 9: 9} and simhash.similar_texts(empty).count() == 0
+
+
 def check_packed(rows, texts, room=2048):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces, sequences = defaultdict(list), defaultdict(list)
