@@ -27,12 +27,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     begins = (ends - [len(w) + 1 for w in words]).tolist()
     last = (ends - 1).tolist()[min(shingle, len(words)) - 1 :]
-    digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in zip(begins, last)]), np.uint8).reshape(-1, 8)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+    digest, ones, step = xxhash.xxh64_digest, np.zeros(BITS, np.int64), 1 << 16
+    for at in range(0, len(last), step):
+        hashes = b"".join([digest(joined[a:b], 42) for a, b in zip(begins[at : at + step], last[at : at + step])])
+        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(last)).tobytes(), "big", signed=True)
 
 
 def _fingerprints(shingle: int):

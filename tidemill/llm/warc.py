@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, pick, shared_dir, table
+from .common import chunks, pick, shared_dir, table, text_bytes
 
 #: Field names of the URL-record line, by ARC version; fixed by the format.
 ARC_FIELDS = {
     "1": "URL IP-address Archive-date Content-type Archive-length",
     "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-ARC_BYTES, RECORDS_PER_FILE, LEAST_REVISIT, SALTS = 1 << 20, 2000, 1000, 32
+ARC_BYTES, FILE_BYTES, RECORDS_PER_FILE, LEAST_REVISIT, SALTS = 1 << 20, 16 << 20, 2000, 1000, 32
 KEY_HEADER = b"X-Page-Id"
 #: Record ids are name-based UUIDs (version 5) in the URL namespace.
 NAMESPACE = uuid.NAMESPACE_URL.hex
@@ -220,7 +220,8 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     rows = pick(pages, key=id_col, url=url_col, html=html_col).withColumn("key", F.col("key").cast("long"))
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    write_warc(convert(arc_archives(rows)), path)
+    mean = text_bytes(rows, "html") // max(1, rows.count())  # a file is read back as one value
+    write_warc(convert(arc_archives(rows)), path, max(1, min(RECORDS_PER_FILE, FILE_BYTES // max(1, mean))))
     return read_archives(pages.sparkSession, path)
 
 
