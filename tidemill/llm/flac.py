@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import chunks, pick, table
 
 #: Samples of a frame, samples of which one step makes or reads frames, and the declared rate.
-BLOCK, STEP_BYTES, RATE, ALIGN = 1024, 1 << 19, 8000, 64
+BLOCK, STEP_BYTES, RATE, ALIGN = 1024, 1 << 18, 8000, 64
 #: Longest run of zeros before a stop bit, linear predictor precision and shift.
 MOST_ZEROS, PRECISION, SHIFT = 40, 8, 6
 
