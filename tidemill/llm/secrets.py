@@ -59,20 +59,17 @@ def linked_spans(text: str | None, scope: int = SCOPE) -> list[tuple[str, int, i
 
     An interval join over the sorted spans of one text: an identifier needs a secret nearby, a
     secret an identifier, an endpoint both. Base spans complement too: an access key is an
-    identifier, assigned and hex values are secrets. A weak part inside a base span of the
-    same role is that span.
+    identifier, assigned and hex values are secrets. A weak part that overlaps a base span of
+    the same role is that span, and an identifier's own value is no secret.
     """
     text = text or ""
-    base = base_spans(text)
-    weak = weak_parts(text)
+    base, weak = base_spans(text), weak_parts(text)
     if weak:
-        role = lambda kind, of: sorted((a, b) for k, a, b in base + weak if k in of)
-        identifiers, secrets = role("identifier", ("access", "identifier")), role("secret", ("assign", "hex", "secret"))
-        identifiers, secrets = merged(identifiers), merged(secrets)
+        role = lambda spans, *of: merged(sorted((a, b) for k, a, b in spans if k in of))
+        taken = {"identifier": role(base, "access"), "secret": role(base + weak, "assign", "hex", "identifier"), "endpoint": []}
+        weak = [(kind, a, b) for kind, a, b in weak if not near(taken[kind], a + 1, b - 1, 0)]
+        identifiers, secrets = role(base + weak, "access", "identifier"), role(base + weak, "assign", "hex", "secret")
         for kind, a, b in weak:
-            own = merged(sorted((x, y) for k, x, y in base if (k == "access") == (kind == "identifier")))
-            if kind != "endpoint" and near(own, a + 1, b - 1, 0):
-                continue
             if (kind == "identifier" or near(identifiers, a, b, scope)) and (kind == "secret" or near(secrets, a, b, scope)):
                 base.append((kind, a, b))
     return sorted(base, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
