@@ -185,7 +185,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     held = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
     held = held.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("hash", F.sha2("text", 256))
-    classes = held.groupBy("hash").agg(F.min("doc_id").alias("text_id"))
+    # Written first, so that a join can split the copies of one text over tasks.
+    classes = materialise(held.groupBy("hash").agg(F.min("doc_id").alias("text_id")), "distinct-texts")
     known = materialise(held.select("doc_id", "hash").join(classes, "hash").select("doc_id", "text_id"), "text-classes")
     distinct = held.join(known.where("doc_id = text_id").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("text_id"), "text")
     prints = materialise(distinct.mapInArrow(_wide_fingerprints(2), "text_id long, " + ", ".join(f"f{i} long" for i in range(TABLES))), "wide-fingerprints")
@@ -193,7 +194,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = materialise(candidate_links(prints, bits), "candidate-links")
     left, right = (distinct.select(F.col("text_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     similar = links.join(left, "a").join(right, "b").where(similarity("text_a", "text_b", shingle) >= least).select("a", "b")
-    labels = components(prints.select(F.col("text_id").alias("node")), similar)
+    labels = materialise(components(prints.select(F.col("text_id").alias("node")), similar), "text-labels")
     return known.join(labels.withColumnRenamed("node", "text_id"), "text_id").select("doc_id", F.col("label").alias("component_id"))
 
 
