@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ BITS = 64
 CHUNK_BYTES = 4 << 20
 #: Short fingerprints of 32 bits that a text has.
 TABLES = 4
+#: Texts sampled for common shingles, sampled texts that make one common, and the most of them.
+SAMPLED, COMMON, MOST_COMMON = 20_000, 5, 200_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -172,16 +175,87 @@ def similarity(a: str, b: str, shingle: int):
     return jaccard(a, b)
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles; a wordless text has the one hash zero."""
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingle_set(text, shingle) or {b""}), np.uint64)).view(np.int64)
+
+
+def _hashes(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", CHUNK_BYTES):
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text, shingle))], ["token"])
+
+    return run
+
+
+def needed(n, least: float):
+    """Shingles that a text of ``n`` shares with any text of similarity ``least``."""
+    return np.maximum(1, np.ceil(least * n - 1e-9))
+
+
+def _postings(shingle: int, least: float, common: np.ndarray, ranks: np.ndarray):
+    def prefix(text: str | None) -> tuple[np.ndarray, int]:
+        held = shingle_hashes(text, shingle)
+        rank = np.zeros(len(held), np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, held), len(common) - 1)
+            rank = np.where(common[at] == held, ranks[at], 0)
+        return held[np.lexsort((held, rank))][: len(held) - int(needed(len(held), least)) + 1], len(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", CHUNK_BYTES):
+            found = [prefix(t) for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(f) for f, _ in found])
+            ids, n = np.repeat(batch.column("text_id").to_numpy(), sizes), np.repeat([n for _, n in found], sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f for f, _ in found])), pa.array(ids), pa.array(n.astype(np.int64))], ["token", "text_id", "n"])
+
+    return run
+
+
+def prefix_links(distinct: DataFrame, labels: DataFrame, texts: int, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) that hold every pair of similarity ``least`` or more whose labels differ.
+
+    In any one order of shingles, two such texts share one of the first n - needed(n) + 1
+    shingles of each, and so many of them that the rest could make up the similarity: prefix
+    filtering, which is complete at every number of texts and for every kind of edit. The order
+    puts shingles last that are common in a sample of the texts, so few texts meet in them; the
+    sample changes the work, never the links that hold. ``labels`` (node, label) name what is
+    already connected: of a shingle only the texts outside its largest label meet all others.
+    """
+    share = max(1, texts // SAMPLED)
+    drawn = distinct.where(F.pmod(F.xxhash64("text_id"), F.lit(share)) == 0).select("text").mapInArrow(_hashes(shingle), "token long")
+    often = drawn.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()
+    often = np.array([(r["token"], r["count"]) for r in often], np.int64).reshape(-1, 2)
+    often = often[np.argsort(often[:, 0])]
+    postings = distinct.mapInArrow(_postings(shingle, least, often[:, 0].copy(), often[:, 1].copy()), "token long, text_id long, n long")
+    postings = materialise(postings, "shingle-prefixes")
+    # Labels of linked texts only: all others are their own label.
+    moved = labels.where("node <> label").select(F.col("node").alias("text_id"), "label")
+    labelled = postings.join(moved, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+    crossing = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    met = materialise(labelled.join(materialise(crossing, "crossing-shingles"), "token"), "crossing-prefixes")
+    sizes = met.groupBy("token", "label").count()
+    main = sizes.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    x = met.join(main, "token").where("label <> main").select("token", F.col("text_id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), "main")
+    y = met.select("token", F.col("text_id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
+    pairs = x.join(y, "token").where(f"lx <> ly and (ly = main or x < y) and least(nx, ny) >= {least} * greatest(nx, ny) - 1e-9")
+    counted = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("both"), F.first(F.col("nx") + F.col("ny")).alias("total"), F.first(F.greatest("nx", "ny")).alias("longer"))
+    # The shared shingles beyond a prefix are at most those that follow it.
+    rest = F.greatest(F.lit(1), F.ceil(F.col("longer") * least - F.lit(1e-9))) - 1
+    return counted.where(F.col("both") + rest >= F.col("total") * (least / (1 + least)) - 1e-6).select("a", "b")
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every document with an id: texts linked by similar word shingles.
 
-    Equal texts are one class first. Candidates come from ball hashing of four short
+    Equal texts are one class first. First candidates come from ball hashing of four short
     fingerprints of two-word shingles, which near copies hardly change; only those whose
-    five-word shingles (``shingle``) have a Jaccard similarity of ``least`` are linked. The
-    bits of a fingerprint grow with the number of texts, so chance candidates stay in
-    proportion to it up to 16 million texts, and more than that beyond. About one near copy in
-    a few dozen is not met. Null, empty and wordless texts are one class; null ids are left
-    out. No rows: no result.
+    five-word shingles (``shingle``) have a Jaccard similarity of ``least`` are linked. That
+    connects large groups cheaply but misses pairs; ``prefix_links`` then brings every such
+    pair that is not yet connected, so that components are those of all pairs (but for equal
+    64-bit hashes of different shingles within one text). Null, empty and wordless texts are
+    one class; null ids are left out. No rows: no result.
     """
     held = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
     held = held.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("hash", F.sha2("text", 256))
@@ -190,11 +264,19 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = materialise(held.select("doc_id", "hash").join(classes, "hash").select("doc_id", "text_id"), "text-classes")
     distinct = held.join(known.where("doc_id = text_id").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("text_id"), "text")
     prints = materialise(distinct.mapInArrow(_wide_fingerprints(2), "text_id long, " + ", ".join(f"f{i} long" for i in range(TABLES))), "wide-fingerprints")
-    bits = min(32, max(1, prints.count()).bit_length() + 8)
-    links = materialise(candidate_links(prints, bits), "candidate-links")
+    texts = prints.count()
+    nodes, bits = prints.select(F.col("text_id").alias("node")), min(32, max(1, texts).bit_length() + 8)
     left, right = (distinct.select(F.col("text_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    similar = links.join(left, "a").join(right, "b").where(similarity("text_a", "text_b", shingle) >= least).select("a", "b")
-    labels = materialise(components(prints.select(F.col("text_id").alias("node")), similar), "text-labels")
+
+    def verified(links: DataFrame) -> DataFrame:
+        held = materialise(links, "candidate-links").join(left, "a").join(right, "b")
+        return materialise(held.where(similarity("text_a", "text_b", shingle) >= least).select("a", "b"), "similar-links")
+
+    similar = verified(candidate_links(prints, bits))
+    labels = materialise(components(nodes, similar), "text-labels")
+    rest = verified(prefix_links(distinct, labels, texts, shingle, least))
+    if not rest.isEmpty():
+        labels = materialise(components(nodes, similar.unionAll(rest)), "text-labels")
     return known.join(labels.withColumnRenamed("node", "text_id"), "text_id").select("doc_id", F.col("label").alias("component_id"))
 
 
