@@ -30,3 +30,19 @@ def test_blocks_added_at_exactly_the_least_similarity(spark, before):
     a, b = (simhash.shingle_set(t, 5) for _, t in rows[:2])
     assert len(a & b) == 200 and len(a | b) == 250
     assert linked(spark, rows) == {i: i - i % 2 for i, _ in rows}
+
+
+def test_near_copies_inside_a_template_family(spark):
+    random, template = np.random.default_rng(3), WORDS[:240]
+    rows = []
+    for i in range(160):
+        # An own block of words in the template's place: members are below the least similarity to each other.
+        words, at = template.copy(), int(random.integers(200))
+        words[at : at + 36] = random.choice(WORDS[300:], 36, replace=False)
+        rows.append((i, " ".join(words)))
+        if i >= 100:
+            words[int(random.integers(240))] = "changed"
+            rows.append((i + 1000, " ".join(words)))
+    expected = all_components(rows)
+    assert expected[1100] == 100 and len(set(expected.values())) > 50
+    assert linked(spark, rows) == expected
