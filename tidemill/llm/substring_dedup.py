@@ -68,7 +68,17 @@ def first_of_equal(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> t
     return np.concatenate([order[alone], shared[new]]), shared[later]
 
 
-def _windows(width: int, buckets: int):
+def by_block(d: np.ndarray, s: np.ndarray, blocks: int) -> list[tuple[int, bytes, bytes]]:
+    """Packed (block, ids, starts) of late windows, a row for each document block."""
+    order = np.lexsort((s, d))
+    d, s = d[order], s[order]
+    block = doc_block(d, blocks)
+    order = np.argsort(block, kind="stable")
+    cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+    return [(int(block[part[0]]), squeeze(d[part]), squeeze(s[part])) for part in np.split(order, cuts[1:])] if len(d) else []
+
+
+def _windows(width: int, buckets: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(xxhash.xxh3_64_intdigest, KNOWN_WORDS)
         for batch in chunks(batches, "text", CHUNK_BYTES):
@@ -82,8 +92,8 @@ def _windows(width: int, buckets: int):
             first, later = first_of_equal(hashes, ids, start)
             first.sort()
             later.sort()
-            # Windows known to be late need no more comparing: they ride along in one bucket.
-            rows = [(int(hashes[first[0]] % np.uint64(buckets)), b"", squeeze(ids[later]), squeeze(start[later]), True)] if len(later) else []
+            # Windows known to be late need no more comparing: they are spread like their documents and stay packed.
+            rows = [(b % buckets, b.to_bytes(8, "little"), d, s, True) for b, d, s in by_block(ids[later], start[later], blocks)]
             bucket = (hashes[first] % np.uint64(buckets)).astype(np.int64)
             order = first[np.argsort(bucket, kind="stable")]
             ends = np.cumsum(np.bincount(bucket, minlength=buckets))
@@ -103,28 +113,18 @@ def doc_block(ids: np.ndarray, blocks: int) -> np.ndarray:
 
 def _late_windows(blocks: int):
     def run(group: pa.Table) -> pa.Table:
-        hashes, ids, starts, late_ids, late_starts = [], [], [], [], []
+        hashes, ids, starts, rows = [], [], [], []
         for h, d, s, known in zip(*(group.column(c).to_pylist() for c in ("hashes", "ids", "starts", "known"))):
-            d, s = unsqueeze(d, np.int64), unsqueeze(s, np.int32)
             if known:
-                late_ids.append(d)
-                late_starts.append(s)
+                rows.append((int.from_bytes(h, "little"), d, s))
             else:
                 hashes.append(np.frombuffer(h, np.uint64))
-                ids.append(d)
-                starts.append(s)
+                ids.append(unsqueeze(d, np.int64))
+                starts.append(unsqueeze(s, np.int32))
         if hashes:
             d, s = np.concatenate(ids), np.concatenate(starts)
             _, later = first_of_equal(np.concatenate(hashes), d, s)
-            late_ids.append(d[later])
-            late_starts.append(s[later])
-        d, s = np.concatenate(late_ids), np.concatenate(late_starts)
-        order = np.lexsort((s, d))
-        d, s = d[order], s[order]
-        block = doc_block(d, blocks)
-        order = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
-        rows = [(int(block[part[0]]), squeeze(d[part]), squeeze(s[part])) for part in np.split(order, cuts[1:])] if len(d) else []
+            rows += by_block(d[later], s[later], blocks)
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["block", "ids", "starts"])
 
     return run
@@ -180,7 +180,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     size = text_bytes(docs, "text")
     buckets, blocks = max(LEAST_BUCKETS, size // BUCKET_BYTES), max(LEAST_BUCKETS, size // BLOCK_BYTES)
-    windows = docs.where("doc_id is not null and text is not null").mapInArrow(_windows(width, buckets), BLOCK_SCHEMA)
+    windows = docs.where("doc_id is not null and text is not null").mapInArrow(_windows(width, buckets, blocks), BLOCK_SCHEMA)
     marks = windows.groupBy("bucket").applyInArrow(_late_windows(blocks), MARK_SCHEMA)
     place = F.shiftright(F.pmod("doc_id", F.lit(MIX_MODULUS)) * MIX_FACTOR, 20) % blocks
     held = docs.withColumn("block", F.coalesce(place, F.pmod(F.xxhash64("text"), F.lit(blocks))))
