@@ -49,19 +49,24 @@ def run_to_end(stream: DataFrame, mode: str = "append", checkpoint: str | None =
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _counted(group: str, order: str) -> Callable:
+    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        have = state.get[0] if state.exists else 0
+        for rows in frames:
+            yield pd.DataFrame({group: key[0], order: rows[order].sort_values().to_numpy(), "n": range(have + 1, have + len(rows) + 1)})
+            have += len(rows)
+        state.update((have,))
+
+    return count
+
+
 def running_counts(stream: DataFrame, group: str = "grp", order: str = "event_id") -> DataFrame:
     """A row per input row with its group's running count, kept in state across batches.
 
-    Rows of a group are counted in the order of ``order`` within a batch.
+    Rows are counted as they arrive, one Arrow batch after another, so that a group of any size
+    needs the memory of one; ``order`` holds within an Arrow batch, not across them.
     """
-
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        have = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(order)
-        state.update((have + len(rows),))
-        yield pd.DataFrame({group: key[0], order: rows[order].to_numpy(), "n": range(have + 1, have + len(rows) + 1)})
-
-    return stream.select(group, order).groupBy(group).applyInPandasWithState(count, f"{group} string, {order} long, n long", "n long", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(group, order).groupBy(group).applyInPandasWithState(_counted(group, order), f"{group} string, {order} long, n long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def suspicions(stream: DataFrame, silence: int, expiry: int, lateness: str = "0 seconds") -> DataFrame:
