@@ -1,5 +1,7 @@
 import hashlib
+import json
 import re
+import warnings
 import zlib
 from collections import defaultdict
 
@@ -10,6 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from tidemill.llm import packing, secrets, simhash, substring_dedup
+from tidemill.llm.training import fit_in_task
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -187,9 +190,28 @@ def test_patterns_reach_the_bound():
     assert area <= sum(x for _, x in patterns) <= area * 1.15
 
 
-def test_inverse():
-    m = np.random.default_rng(2).normal(size=(30, 30))
-    assert np.abs(packing.inverted(m) @ m - np.eye(30)).max() < 1e-8
+def test_patterns_of_many_classes_are_proven(spark):
+    demand = {k: 1 + k * 37 % 211 for k in range(257)}
+
+    def solve(counted):
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")  # a gap left open warns
+            return packing.solve_histogram(counted)
+
+    # In a task, as in production: threaded linear algebra can hang in a driver that has forked.
+    solved = fit_in_task(spark.createDataFrame(list(demand.items()), "class int, count long"), solve)
+    total, patterns = json.loads(solved)
+    assert total == sum(demand.values())
+    for c, n in demand.items():
+        assert not c or sum(dict(map(tuple, p)).get(c, 0) * x for p, x in patterns) >= n * (1 - 1e-6)
+
+
+@pytest.mark.parametrize("text", [" " * 3_000_000, "\n" * 3_000_000, "a" + "\t" * 3_000_000 + "b", "x " * 9 + "\u2003\r\n \xa0\u3000" * 400_000 + "y<|endoftext|>" + " " * 70_000, "\x1c" * 70_000 + " " * 65_536 + "!"], ids=list("abcde"))
+def test_ids_of_long_white_space(text):
+    encoder = packing.encoder_for("byte_bpe_50k")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID], encoder.kind)
+    assert encoder.encode(text) == want.tobytes()
 
 
 def plain_base(text):
