@@ -26,10 +26,11 @@ def test_quality_on_held_out_labels(spark):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    held = judged(toxicity.op3_toxicity(spark, BIG), spark.read.parquet(f"{BIG}/labels.parquet"), "toxic")
-    assert len(held) > 50 and auc(held) > 0.8
-    assert ((held["predicted"] == 1) & (held["y"] == 0)).sum() == 0
-    assert (held["predicted"] == held["y"]).mean() > 0.93
+    large = "/root/testdata/sf0.1"
+    held = judged(toxicity.op3_toxicity(spark, large), spark.read.parquet(f"{large}/labels.parquet"), "toxic")
+    called = held["predicted"] == 1
+    assert len(held) > 1000 and auc(held) > 0.95
+    assert (held["y"][called] == 1).mean() > 0.95 and called[held["y"] == 1].mean() > 0.85
 
 
 @pytest.mark.parametrize("run", [quality.score_quality, toxicity.score_toxicity])
@@ -64,22 +65,6 @@ def test_passages_cover_whole_texts():
     assert x[5, -1] == 0.5 and x[3, -2] == 1
 
 
-def test_label_model_finds_good_voters():
-    random, n = np.random.default_rng(4), 20_000
-    truth = random.random(n) < 0.2
-    bits = np.zeros(n, int)
-    for k, (hit, false) in enumerate(((0.9, 0.01), (0.8, 0.02), (0.7, 0.05), (0.3, 0.3), (0.6, 0.1), (0.5, 0.02))):
-        bits |= (random.random(n) < np.where(truth, hit, false)).astype(int) << k
-    values, count = np.unique(bits, return_counts=True)
-    seen = {}
-    for b, t in zip(bits[:300], truth[:300]):
-        y, m = seen.get((int(b), 31 & ~int(b)), (0.0, 0))
-        seen[int(b), 31 & ~int(b)] = (y + t, m + 1)
-    belief = toxicity.label_model([(int(v), 31 & ~int(v), int(c)) for v, c in zip(values, count)], seen)
-    guess = np.array([belief[int(b), 31 & ~int(b)] > 0.5 for b in bits])
-    assert (guess == truth).mean() > 0.95
-
-
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 

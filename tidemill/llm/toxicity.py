@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,49 +14,51 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, chunks, materialise, pick, table
+from .common import chunks, materialise, pick, table
 from .training import fit_in_task, fold, labelled_sample
+from .words import STEMS, Words, hash_of, known, slices
 
 #: Labelled documents whose words are mined at most, and the fold held out.
 MOST_LABELLED, FOLDS, HELD = 12_000, 3, 1
-CHUNK_BYTES, KNOWN_WORDS = 4 << 20, 100_000
-#: Word stems that voters and the classifier look at, beside whole words.
-STEMS = (4, 5, 6)
+CHUNK_BYTES = 4 << 20
 #: Lexicon words must be toxic this often, in so many different texts; size of a lexicon and of the classifier.
 PRECISION, LEAST_TEXTS, MOST_WORDS, MOST_FEATURES = 0.8, 3, 400, 4000
 MIXES = np.random.default_rng(5).integers(0, 1 << 63, 6, np.uint64) * np.uint64(2) + np.uint64(1)
 ROUNDS, L1, L2 = 300, 3e-5, 1e-5
 
-# English insults.
+# English insults, and second persons of English, German, French and Spanish.
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "scum", "trash", "garbage", "loser", "losers", "pathetic", "worthless", "disgusting", "clown", "fool", "vermin", "filth", "imbecile", "crap")
+PERSONS = ("you", "your", "you're", "yours", "du", "dich", "dir", "dein", "deine", "tu", "te", "toi", "ton", "vous", "usted", "ustedes", "eres")
 
-#: ASCII letters and digits, the apostrophe and every byte beyond ASCII belong to words.
-_SEPARATE = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in range(256))
-
-#: Voters, in the order of their bits: a fixed lexicon, lexicons mined from either half of the
-#: labelled texts, stems of two lengths, and a pattern: several suspicious words.
-VOTERS = ("insults", "words_even", "words_odd", "stems_short", "stems_long", "repeated")
-
-
-def distinct_words(text: str | None) -> set[bytes]:
-    return set((text or "").lower().encode().translate(_SEPARATE).split())
-
-
-def word_features(word: bytes) -> tuple[int, ...]:
-    """Hashes of a word and of its stems; stems are cut by characters."""
-    text = word.decode(errors="replace")
-    stems = [f"{n}|{text[:n]}" for n in STEMS if len(text) > n]
-    return tuple(xxhash.xxh3_64_intdigest(x) for x in (b"w|" + word, *stems))
+#: Voters, in the order of their bits. Lexicons: insults and their stems, words mined from
+#: either half of the labelled texts, stems of three lengths mined from all of them.
+#: Obfuscation: an insult spelled with digits, letters replaced by marks. Repetition: several
+#: suspicious words, many of them among the text's words, two close together. Address: a second person
+#: beside a suspicious word. Punctuation: runs of exclamation marks.
+VOTERS = ("insults", "insult_stems", "words_even", "words_odd", "stems_4", "stems_5", "stems_6", "digits", "marks", "several", "dense", "close", "addressed", "exclaims")
+#: So many of them are lexicons; the label model starts from their votes.
+LEXICONS = 7
+_DIGITS = bytes.maketrans(b"0134578", b"oieastb")
+_MARKS = re.compile(r"\*(?<=[A-Za-z]\*)\*{0,8}[A-Za-z]")
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: hashes of its words and of each stem length, as distinct values with counts of words."""
-    memo = Memo(word_features, KNOWN_WORDS)
+    """Per text: hashes of its distinct words and of their stems, each as often as words have it."""
     for batch in chunks(batches, "text", CHUNK_BYTES):
+        texts = batch.column("text").to_pylist()
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        for numbers, parts in slices(texts):
+            held = Words(numbers, parts)
+            doc, word = held.pairs()
+            cuts = np.searchsorted(doc, np.arange(numbers[0], numbers[-1] + 2))
+            for i, a, b in zip(range(numbers[0], numbers[-1] + 1), cuts[:-1], cuts[1:]):
+                found[i].append(held.features[word[a:b]])
         rows = []
-        for text in batch.column("text").to_pylist():
-            found = sorted(h for w in distinct_words(text) for h in memo[w])
-            rows.append((xxhash.xxh3_64_intdigest(text or "") >> 1, np.array(found, np.uint64).tobytes()))
+        for text, parts in zip(texts, found):
+            # A word met in several slices of a long text counts once.
+            own = np.unique(np.concatenate(parts), axis=0) if len(parts) > 1 else parts[0]
+            values = np.sort(own.ravel())
+            rows.append((xxhash.xxh3_64_intdigest(text or "") >> 1, values[np.searchsorted(values, 1) :].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), batch.column("label")], ["text_hash", "features", "label"])
 
 
@@ -85,7 +88,10 @@ def among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 
 def mine(sample: pa.Table) -> bytes:
-    """Lexicon hashes of the mined voters, from different labelled texts: counted in half of them each."""
+    """Lexicon hashes of the mined voters, from different labelled texts, and the share of toxic ones.
+
+    The lexicons of words come from half of the texts each, that of stems from all.
+    """
     hashes, features, labels = _distinct_texts(sample)
     even = np.array([h % 2 == 0 for h in hashes], bool)
 
@@ -102,38 +108,56 @@ def mine(sample: pa.Table) -> bytes:
         order = np.lexsort((values[sure], -count[sure]))[:MOST_WORDS]
         return values[sure][order]
 
-    return b"".join(len(x).to_bytes(4, "little") + x.tobytes() for x in (lexicon(even), lexicon(~even), lexicon(np.ones(len(hashes), bool))))
+    found = [np.sort(lexicon(chosen)).tolist() for chosen in (even, ~even, np.ones(len(hashes), bool))]
+    return json.dumps([float(np.mean(labels >= 0.5)) if len(labels) else 0.0, *found]).encode()
 
 
 class Voters:
-    """Votes of one text as two bit sets: voters for toxic, voters for clean; others abstain."""
-
-    def __init__(self, mined: bytes | None):
-        self.mined, at = [], 0
-        while mined and at < len(mined):
-            n = int.from_bytes(mined[at : at + 4], "little")
-            self.mined.append(frozenset(np.frombuffer(mined, np.uint64, n, at + 4).tolist()))
-            at += 4 + 8 * n
-        even, odd, both = self.mined or [frozenset()] * 3
-        self.insults = frozenset(w.encode() for w in INSULTS)
-        self.even, self.odd, self.both = even, odd, both
-        self.memo = Memo(self.of_word, KNOWN_WORDS)
-
-    def of_word(self, word: bytes) -> int:
-        whole, *stems = word_features(word)
-        bits = (word in self.insults) | (whole in self.even) << 1 | (whole in self.odd) << 2
-        short = bool(stems) and stems[0] in self.both
-        return bits | short << 3 | (len(stems) > 1 and any(s in self.both for s in stems[1:])) << 4
-
-    def vote(self, text: str | None) -> tuple[int, int]:
-        hits = list(filter(None, map(self.memo.__getitem__, distinct_words(text))))
-        toxic = 0
-        for h in hits:
-            toxic |= h
-        if len(hits) > 1:
-            toxic |= 1 << 5
-        mined = sum(1 << k for k, held in ((1, self.even), (2, self.odd), (3, self.both), (4, self.both)) if held)
-        return toxic, mined & ~toxic
+    """Votes of many texts: a bit for each voter that calls the text toxic; others do not."""
+
+    def __init__(self, mined: bytes):
+        self.prior, *found = json.loads(mined)
+        self.even, self.odd, self.both = (np.array(x, np.uint64) for x in found)
+        rows = [hash_of(w) for w in INSULTS]
+        self.insults = np.sort([r[0] for r in rows])
+        self.insult_stems = np.sort([r[2] for r in rows if r[2]])
+        self.persons = np.sort([hash_of(w)[0] for w in PERSONS])
+
+    def of_words(self, held: Words) -> np.ndarray:
+        """The word voters' bits of each distinct word."""
+        f = held.features
+        columns = [known(self.insults, f[:, 0]), known(self.insult_stems, f[:, 2]), known(self.even, f[:, 0]), known(self.odd, f[:, 0])]
+        columns += [known(self.both, f[:, k]) for k in range(1, 1 + len(STEMS))]
+        spelled, mixed = np.zeros(len(f), bool), np.flatnonzero((held.digits > 0) & (held.digits < held.size[held.first]))
+        if len(mixed):
+            read = Words([0], [b" ".join(held.spelled(w).translate(_DIGITS) for w in mixed)])
+            spelled[mixed] = known(self.insults, read.features[:, 0])[read.word]
+        return sum(c.astype(np.int64) << k for k, c in enumerate([*columns, spelled]))
+
+    def vote(self, texts: list[str | None]) -> np.ndarray:
+        votes, hits, words = (np.zeros(len(texts), np.int64) for _ in range(3))
+        bit = {name: np.int64(1 << k) for k, name in enumerate(VOTERS)}
+        for numbers, parts in slices(texts):
+            held = Words(numbers, parts)
+            bits = self.of_words(held)
+            doc, word = held.pairs()
+            some = bits[word] != 0
+            np.bitwise_or.at(votes, doc[some], bits[word[some]])
+            hits += np.bincount(doc[some], minlength=len(texts))
+            words += np.bincount(doc, minlength=len(texts))
+            at = np.flatnonzero(bits[held.word])
+            near = (np.diff(at) <= 8) & (np.diff(held.doc[at]) == 0)
+            votes[held.doc[at[1:][near]]] |= bit["close"]
+            person = np.r_[known(self.persons, held.features[:, 0])[held.word], False]
+            for step in (-2, -1, 1, 2):
+                other = at + step
+                good = (other >= 0) & (other < len(held.word))
+                good[good] &= person[other[good]] & (held.doc[other[good]] == held.doc[at[good]])
+                votes[held.doc[at[good]]] |= bit["addressed"]
+        votes |= np.where(hits > 1, bit["several"], 0) | np.where((hits > 0) & (hits >= 0.02 * words), bit["dense"], 0)
+        votes |= np.array([bit["marks"] if t and "*" in t and _MARKS.search(t) else 0 for t in texts], np.int64)
+        votes |= np.array([bit["exclaims"] if t and "!!" in t else 0 for t in texts], np.int64)
+        return votes
 
 
 @lru_cache(maxsize=1)
@@ -142,45 +166,91 @@ def voters_of(mined: bytes) -> Voters:
     return Voters(mined)
 
 
-def label_model(patterns: list[tuple[int, int, int]], seen: dict[tuple[int, int], tuple[float, int]], rounds: int = 50) -> dict[tuple[int, int], float]:
-    """Posterior of toxic for every pattern of votes, by expectation maximisation over all texts.
+def dependency_tree(joint: np.ndarray, share: np.ndarray) -> list[tuple[int, int]]:
+    """(voter, the voter it depends on or -1) in an order that has parents first.
 
-    A voter has rates of each vote (toxic, clean, none) under either class. Voters that agree
-    more often than their rates explain, class by class, are correlated; each voter's evidence
-    is divided by one plus the sum of its correlations, so voters that repeat each other do
-    not count twice. ``patterns`` are (toxic bits, clean bits, texts); ``seen`` has the sum of
-    labels and the number of labelled texts of a pattern, from which the first guess comes.
+    ``joint[y, i, j]`` is how often both vote toxic under class y (on the diagonal: how often
+    one does). The tree has the greatest sum of mutual information given the class.
+    """
+    m = joint.shape[1]
+    one = np.stack([np.diag(j) for j in joint])
+    info = np.zeros((m, m))
+    for y in range(2):
+        p, q = one[y][:, None], one[y][None, :]
+        for both, a, b in ((joint[y], p, q), (p - joint[y], p, 1 - q), (q - joint[y], 1 - p, q), (1 - p - q + joint[y], 1 - p, 1 - q)):
+            both = np.maximum(both, 1e-12)
+            info += share[y] * both * np.log(both / np.maximum(a * b, 1e-12))
+    order, best, parent = [(0, -1)], info[0].copy(), np.zeros(m, int)
+    left = set(range(1, m))
+    while left:
+        k = max(left, key=lambda j: (best[j], -j))
+        left.remove(k)
+        order.append((k, int(parent[k])))
+        for j in left:
+            if info[k, j] > best[j]:
+                best[j], parent[j] = info[k, j], k
+    return order
+
+
+def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, leaders: int | None = None, rounds: int = 200) -> np.ndarray:
+    """Posterior of toxic for every row of ``votes`` (0 or 1 a voter), by expectation maximisation.
+
+    The model of either class is a tree over the voters: how often a voter calls a text toxic
+    depends on the class and on what one other voter says. A round estimates all pairs'
+    frequencies under the present posteriors, and with them both the accuracies and the tree of
+    correlations that fits best; so voters that repeat each other do not count twice. A voter
+    that would call clean texts toxic more often than toxic ones brings no evidence.
+
+    No label takes part. ``prior``, the share of toxic texts, says how many texts start as
+    toxic: those for which the first ``leaders`` voters (default: all) cast the rarest votes.
+    ``weight`` counts the texts of each row.
     """
-    m = len(VOTERS)
-    votes = np.array([[0 if t >> k & 1 else 1 if c >> k & 1 else 2 for k in range(m)] for t, c, _ in patterns])
-    weight = np.array([float(n) for *_, n in patterns])
-    onehot = np.stack([votes == v for v in range(3)], axis=2).astype(float)
-    prior = min(0.99, max(0.01, sum(y for y, _ in seen.values()) / max(1, sum(n for _, n in seen.values()))))
-    guess = [seen.get((t, c), (0.0, 0)) for t, c, _ in patterns]
-    posterior = np.array([(y + prior) / (n + 1) if n else min(0.95, t.bit_count() / m) for (y, n), (t, *_) in zip(guess, patterns)])
+    n, m = votes.shape
+    v, weight = votes.astype(float), weight.astype(float)
+    prior = min(0.5, max(0.001, prior))
+    leading = v[:, :leaders]
+    rarity = (leading * -np.log(((weight[:, None] * leading).sum(axis=0) + 0.5) / (weight.sum() + 1))).sum(axis=1)
+    order = np.argsort(-rarity, kind="stable")
+    before = np.cumsum(weight[order]) - weight[order]
+    posterior = np.full(n, 0.01)
+    posterior[order[(before < prior * weight.sum()) & (rarity[order] > 0)]] = 0.95
     for _ in range(rounds):
-        rates = []
-        for share in (posterior, 1 - posterior):
-            total = weight * share
-            rates.append(((onehot * total[:, None, None]).sum(axis=0) + 0.1) / (total.sum() + 0.3))
-        for a, b in zip(*rates):  # a voter is never worse than chance
-            if a[0] < b[0]:
-                a[0] = b[0] = (a[0] + b[0]) / 2
-        evidence = (onehot * np.log(rates[0] / rates[1])).sum(axis=2)
-        base = math.log(prior / (1 - prior))
-        posterior = 1 / (1 + np.exp(-np.clip(base + evidence.sum(axis=1), -30, 30)))
-    excess = np.zeros((m, m))
-    for share, rate in ((posterior, rates[0]), (1 - posterior, rates[1])):
-        total = weight * share
-        for i, j in combinations(range(m), 2):
-            p, q = rate[i, 0], rate[j, 0]
-            both = (total * onehot[:, i, 0] * onehot[:, j, 0]).sum() / max(total.sum(), 1e-9)
-            spread = math.sqrt(max(p * (1 - p) * q * (1 - q), 1e-12))
-            excess[i, j] = excess[j, i] = max(excess[i, j], min(1.0, max(0.0, (both - p * q) / spread)))
-    logit = base + (evidence / (1 + excess.sum(axis=1))).sum(axis=1)
-    posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    # Known labels of a pattern weigh against the model as one vote each.
-    return {(t, c): float((p + y) / (1 + n)) for (t, c, _), p, (y, n) in zip(patterns, posterior, guess)}
+        total = np.stack([weight * (1 - posterior), weight * posterior])
+        size = total.sum(axis=1)
+        both = np.einsum("yp,pi,pj->yij", total, v, v)
+        seen = np.einsum("yp,pi->yi", total, v)
+        joint = (both + 0.25) / (size[:, None, None] + 1)
+        joint[:, np.arange(m), np.arange(m)] = (seen + 0.5) / (size[:, None] + 1)
+        evidence = np.full(n, math.log(prior / (1 - prior)))
+        for k, parent in dependency_tree(joint, size / max(size.sum(), 1e-9)):
+            if joint[1, k, k] <= joint[0, k, k]:
+                continue
+            rate = np.empty((2, 2))  # by class and what the parent says
+            for y in range(2):
+                if parent < 0:
+                    rate[y] = joint[y, k, k]
+                else:
+                    with_, all_ = both[y, k, parent], seen[y, parent]
+                    # A rare combination leans on the voter's own rate.
+                    rate[y, 1] = (with_ + 2 * joint[y, k, k]) / (all_ + 2)
+                    rate[y, 0] = (seen[y, k] - with_ + 2 * joint[y, k, k]) / (size[y] - all_ + 2)
+            rate = np.clip(rate, 1e-6, 1 - 1e-6)
+            said = votes[:, parent] if parent >= 0 else np.zeros(n, int)
+            evidence += np.where(votes[:, k] == 1, np.log(rate[1] / rate[0])[said], np.log((1 - rate[1]) / (1 - rate[0]))[said])
+        new = 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
+        done = np.abs(new - posterior).max(initial=0) < 1e-9
+        posterior = new
+        if done:
+            break
+    return posterior
+
+
+def fit_label_model(counted: pa.Table, prior: float) -> bytes:
+    """Posterior of each pattern of votes, as JSON, from the patterns' counts over all texts."""
+    rows = sorted(zip(counted.column("votes").to_pylist(), counted.column("count").to_pylist()))
+    bits = np.array([b for b, _ in rows], np.int64)
+    votes = (bits[:, None] >> np.arange(len(VOTERS)) & 1).astype(int)
+    return json.dumps(dict(zip(bits.tolist(), label_model(votes, np.array([n for _, n in rows]), prior, LEXICONS).tolist()))).encode()
 
 
 def train_linear(sample: pa.Table) -> bytes:
@@ -189,7 +259,7 @@ def train_linear(sample: pa.Table) -> bytes:
     A feature's value is in how many of a text's distinct words it stands. Candidates are those
     whose texts are mostly toxic by posterior; the L1 term keeps few of them.
     """
-    hashes, features, y = _distinct_texts(sample)
+    _, features, y = _distinct_texts(sample)
     likely = [np.unique(f) for f, label in zip(features, y) if label >= 0.5]
     values, texts = np.unique(np.concatenate(likely or [np.zeros(0, np.uint64)]), return_counts=True)
     values = values[texts >= LEAST_TEXTS]
@@ -231,13 +301,31 @@ class Linear:
     def __init__(self, raw: bytes):
         n = (len(raw) - 8) // 16
         self.bias = float(np.frombuffer(raw, np.float64, 1)[0])
-        self.weight = dict(zip(np.frombuffer(raw, np.uint64, n, 8).tolist(), np.frombuffer(raw, np.float64, n, 8 + 8 * n).tolist()))
-        self.memo = Memo(lambda word: sum(self.weight.get(h, 0.0) for h in word_features(word)), KNOWN_WORDS)
-
-    def score(self, text: str | None) -> float:
-        # fsum: the order of a set must not show in the score
-        logit = self.bias + math.fsum(filter(None, map(self.memo.__getitem__, distinct_words(text))))
-        return round(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), 9)
+        values, weights = np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, np.float64, n, 8 + 8 * n)
+        order = np.argsort(values)
+        self.values, self.weights = values[order], weights[order]
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """Scores of whole texts; a word counts once, however often and in whichever slice it stands."""
+        docs, hashes, worth = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for numbers, parts in slices(texts):
+            held = Words(numbers, parts)
+            own = np.zeros(len(held.hashes))
+            for k in range(held.features.shape[1]):
+                hit = np.flatnonzero(known(self.values, held.features[:, k]))
+                own[hit] += self.weights[np.searchsorted(self.values, held.features[hit, k])]
+            doc, word = held.pairs()
+            some = own[word] != 0
+            docs.append(doc[some])
+            hashes.append(held.hashes[word[some]])
+            worth.append(own[word[some]])
+        doc, h, w = map(np.concatenate, (docs, hashes, worth))
+        order = np.lexsort((h, doc))
+        doc, h, w = doc[order], h[order], w[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(doc)]
+        # Sums run in the order of hashes within a text, so that equal texts get equal scores.
+        logit = self.bias + np.bincount(doc[new], w[new], len(texts))
+        return (1 / (1 + np.exp(-np.clip(logit, -30, 30)))).round(9)
 
 
 @lru_cache(maxsize=1)
@@ -246,34 +334,39 @@ def linear_of(model: bytes) -> Linear:
     return Linear(model)
 
 
+def _in_chunks(column: pa.Array, run) -> np.ndarray:
+    """``run`` over lists of texts of about ``CHUNK_BYTES``, joined."""
+    out = [np.zeros(0)]
+    for batch in chunks(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text", CHUNK_BYTES):
+        out.append(run(batch.column("text").to_pylist()))
+    return np.concatenate(out)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> bytes | None:
     """Classifier weights, or None without labelled documents outside the held-out fold.
 
-    Lexicons come from at most ``most`` labelled documents. The votes of all documents are
-    counted by pattern (at most a few hundred patterns reach the driver) and fit the label
-    model; its posteriors, not the labels, train the classifier on the sampled texts.
+    At most ``most`` labelled documents give the mined voters their lexicons and the label
+    model its prior; that is all labels are used for. The votes of all documents, counted by pattern
+    (of 14 bits, so at most 16,384), fit the label model in a task; its posteriors, not the
+    labels, train the classifier on the sampled texts.
     """
     texts = docs.select("doc_id", "text")
     sample = materialise(labelled_sample(texts, labels, label, FOLDS, HELD, most), "toxicity-sample")
     mined = fit_in_task(sample.mapInArrow(_sampled, "text_hash long, features binary, label double"), mine)
     if mined is None:
         return None
+    prior = json.loads(mined)[0]
 
     @F.arrow_udf("int")
     def votes(column: pa.Array) -> pa.Array:
-        voters = voters_of(mined)
-        return pa.array([t | c << 8 for t, c in (voters.vote(x.as_py()) for x in column)], pa.int32())
+        return pa.array(_in_chunks(column, voters_of(mined).vote).astype(np.int32))
 
-    counted = texts.select(votes("text").alias("votes")).groupBy("votes").count().collect()
-    labelled = sample.groupBy(votes("text").alias("votes")).agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()
-    seen = {(r["votes"] & 255, r["votes"] >> 8): (r["toxic"], r["n"]) for r in labelled}
-    posterior = label_model(sorted((r["votes"] & 255, r["votes"] >> 8, r["count"]) for r in counted), seen)
-    table_of = {t | c << 8: p for (t, c), p in posterior.items()}
+    counted = texts.select(votes("text").alias("votes")).groupBy("votes").count()
+    posterior = {int(k): p for k, p in json.loads(fit_in_task(counted, lambda held: fit_label_model(held, prior))).items()}
 
     @F.arrow_udf("double")
     def believed(column: pa.Array) -> pa.Array:
-        voters = voters_of(mined)
-        return pa.array([table_of[t | c << 8] for t, c in (voters.vote(x.as_py()) for x in column)], pa.float64())
+        return pa.array([posterior[v] for v in _in_chunks(column, voters_of(mined).vote).tolist()], pa.float64())
 
     soft = sample.select("text", believed("text").alias("label"))
     return fit_in_task(soft.mapInArrow(_sampled, "text_hash long, features binary, label double"), train_linear)
@@ -286,8 +379,7 @@ def score(text: str, model: bytes | None) -> Column:
 
     @F.arrow_udf("double")
     def scored(column: pa.Array) -> pa.Array:
-        linear = linear_of(model)
-        return pa.array([linear.score(x.as_py()) for x in column], pa.float64())
+        return pa.array(_in_chunks(column, linear_of(model).score), pa.float64())
 
     return scored(text)
 
@@ -296,7 +388,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(doc_id, held_out, score, predicted) of every document, learned from the ``toxic`` label.
 
     Null ids are never held out and their labels never learned; repeated ids are scored row by
-    row. No documents: no result. No usable labels: every score is 0.5.
+    row. Texts of any length are read whole, in slices cut between words; further columns,
+    clashing or not, are ignored. No documents: no result. No usable labels: every score is 0.5.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     scored = docs.select("doc_id", score("text", train(docs, labels)).alias("score"))
