@@ -6,13 +6,18 @@ from tidemill.llm import simhash
 WORDS = [f"w{i}" for i in range(50_000)]
 
 
+def shingle_set(text, shingle):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
 def linked(spark, rows):
     return {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
 
 def all_components(rows, least=0.8):
     """Smallest id of each component over all pairs."""
-    sets, label = {i: simhash.shingle_set(t, 5) for i, t in rows}, {i: i for i, _ in rows}
+    sets, label = {i: shingle_set(t, 5) for i, t in rows}, {i: i for i, _ in rows}
     for i in sets:
         for j in sets:
             if i < j and label[i] != label[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
@@ -27,7 +32,7 @@ def test_blocks_added_at_exactly_the_least_similarity(spark, before):
     for _ in range(300):
         words = list(random.choice(WORDS, 254, replace=False))
         rows += [(len(rows), " ".join(words[before : before + 204])), (len(rows) + 1, " ".join(words))]
-    a, b = (simhash.shingle_set(t, 5) for _, t in rows[:2])
+    a, b = (shingle_set(t, 5) for _, t in rows[:2])
     assert len(a & b) == 200 and len(a | b) == 250
     assert linked(spark, rows) == {i: i - i % 2 for i, _ in rows}
 
@@ -46,3 +51,35 @@ def test_near_copies_inside_a_template_family(spark):
     expected = all_components(rows)
     assert expected[1100] == 100 and len(set(expected.values())) > 50
     assert linked(spark, rows) == expected
+
+
+def test_a_hub_hides_no_pair(spark):
+    """Texts 2 and 3 are near each other; 1 shares a short fingerprint with both and nothing else."""
+    random = np.random.default_rng(8)
+    words = list(random.choice(WORDS, 200, replace=False))
+    mixed = [*words[100:], *words[:100]]
+    random.shuffle(mixed)
+    rows = [(1, " ".join(mixed)), (2, " ".join(words)), (3, " ".join([*words[:-3], "x", "y", "z"]))]
+    rows += [(i, " ".join(random.permutation(words))) for i in range(10, 40)]
+    assert linked(spark, rows) == all_components(rows) and linked(spark, rows)[3] == 2
+
+
+def test_random_groups_against_all_pairs(spark):
+    random, rows = np.random.default_rng(12), []
+    for g in range(25):
+        base = list(random.choice(WORDS, int(random.integers(3, 120))))
+        for _ in range(12):
+            words = base.copy()
+            for _ in range(int(random.integers(0, 1 + len(words) // 12))):
+                at = int(random.integers(len(words)))
+                words[at : at + int(random.integers(0, 3))] = random.choice(WORDS, int(random.integers(0, 3)))
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(("", " \t", "one", "One", "one two", None))]
+    assert linked(spark, rows) == all_components(rows)
+
+
+def test_rows_that_repeat_an_id(spark):
+    long = " ".join(WORDS[:100])
+    rows = [(5, 1, long), (6, 1, long), (7, 2, long + " more"), (8, 2, "another text"), (9, 3, "another text"), (10, 2, "a third one")]
+    found = {r["row_id"]: (r["component_id"], r["first"]) for r in simhash.similar_rows(spark.createDataFrame(rows, "row_id long, doc_id long, text string")).collect()}
+    assert found == {5: (1, True), 6: (1, False), 7: (1, False), 8: (2, True), 9: (2, False), 10: (2, True)}

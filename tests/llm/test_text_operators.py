@@ -17,6 +17,11 @@ from tidemill.llm.training import fit_in_task
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def shingle_set(text, shingle):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
 def plain_removed(rows, width):
     """Removed word counts and kept texts by brute force; rows are (doc_id, text) with distinct ids."""
     seen, out = set(), {}
@@ -132,7 +137,7 @@ def test_similar_texts(spark, odd, empty):
                 text[int(random.integers(len(text)))] = "changed"
             rows.append((len(rows), " ".join(text)))
     found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    sets = [shingle_set(t, 5) for _, t in rows]
     near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert len(near) > 200 and sum(found[i] == found[j] for i, j in near) >= 0.95 * len(near)
     assert all(i // 4 == c // 4 for i, c in found.items())  # no link between groups

@@ -17,7 +17,7 @@ def votes_of(*texts):
 def test_voters():
     assert votes_of(None, "", "a clean text", "you idiot") == [set(), set(), set(), {"insults", "addressed", "dense"}]
     assert votes_of("1d10t", "f**k off", "no !! no", "2024 was fine") == [{"digits", "dense"}, {"marks"}, {"exclaims"}, set()]
-    long = "x " * 200 + "moron " + "y " * 100 + "Idiotic fool"
+    long = " ".join(f"x{i}y" for i in range(300)) + " moron " + "y " * 100 + "Idiotic fool"
     assert votes_of(long, long + " z" * words.SLICE_BYTES) == [{"insults", "insult_stems", "several", "close"}] * 2
 
 

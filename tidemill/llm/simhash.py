@@ -12,13 +12,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, chunks, materialise, pick, table
+from .substring_dedup import rolling_hashes
+from .words import mixed
 
 BITS = 64
 CHUNK_BYTES = 4 << 20
-#: Short fingerprints of 32 bits that a text has.
-TABLES = 4
+#: Short fingerprints that a text has, and most bits of each.
+TABLES, CODE_BITS = 3, 42
 #: Texts sampled for common shingles, sampled texts that make one common, and the most of them.
 SAMPLED, COMMON, MOST_COMMON = 20_000, 5, 200_000
+KNOWN_WORDS = 100_000
+#: Texts of a shingle's largest label that others meet in a guided round, and the number of such rounds.
+GUIDES, GUIDED_ROUNDS = 4, 2
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -53,10 +58,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
-def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
+def ball_links(distinct: DataFrame, radius: int = 2, bits: int = BITS) -> DataFrame:
     """Verified links (a, b), a < b, that connect all fingerprints at most ``radius`` bits apart.
 
-    ``distinct`` has one row per fingerprint ``fp``. Each emits every variant within half the
+    ``distinct`` has one row per fingerprint ``fp``, of which the lowest ``bits`` bits are flipped. Each emits every variant within half the
     radius, so two fingerprints meet in a variant exactly if they differ by at most ``radius``
     bits. An even radius of 2 needs one flipped bit; a variant's colliding fingerprints are
     then the variant with one bit flipped, and a bit set of constant size holds them all: it
@@ -65,14 +70,16 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """
     if radius != 2:
         raise ValueError("only a radius of 2 is supported")
-    emitted = distinct.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("bit")).selectExpr(
+    # Rows grow by the number of variants: deal them out first, however few files they lie in.
+    dealt = distinct.repartition(max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "fp")
+    emitted = dealt.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))).alias("bit")).selectExpr(
         "if(bit < 0, fp, fp ^ shiftleft(1L, bit)) as variant",
         "if(bit < 0, 0L, shiftleft(1L, bit)) as flipped",
         "if(bit < 0, 1, 0) as own",
     )
     met = emitted.groupBy("variant").agg(F.expr("bit_or(flipped)").alias("flipped"), F.max("own").alias("own"))
     met = met.where("bit_count(flipped) + own >= 2")
-    flips = F.expr(f"transform(filter(sequence(0, {BITS - 1}), b -> getbit(flipped, b) = 1), b -> variant ^ shiftleft(1L, b))")
+    flips = F.expr(f"transform(filter(sequence(0, {bits - 1}), b -> getbit(flipped, b) = 1), b -> variant ^ shiftleft(1L, b))")
     members = F.when(F.col("own") == 1, F.array_append(flips, F.col("variant"))).otherwise(flips)
     star = met.select(members.alias("m")).select(F.array_min("m").alias("a"), F.explode("m").alias("b"))
     return star.where("a <> b").distinct().where(f"bit_count(a ^ b) <= {radius}")
@@ -102,7 +109,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable. Equal fingerprints are one class before any link is sought, so
     groups of copies cost one row. Null, empty and wordless texts have fingerprint zero and
     link like others. A null id gets its component's smallest id (null if all are null); rows
-    that repeat an id stay separate rows. No rows: no result.
+    that repeat an id stay separate rows. Texts of any length count whole; further columns,
+    clashing or not, are ignored. No rows: no result.
     """
     found = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -114,17 +122,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: str | None, shingle: int) -> set[bytes]:
+def shingle_hashes(text: str | None, shingle: int, memo: Memo) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's word shingles, ascending; a wordless text has the one hash zero.
+
+    Words are lower-cased (A-Z); a text of fewer words is one shingle.
+    """
     words = (text or "").encode().lower().split()
-    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    if not words:
+        return np.zeros(1, np.uint64)
+    hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    found = np.sort(mixed(rolling_hashes(hashes, min(shingle, len(words))) + np.uint64(min(shingle, len(words)))))
+    return found[np.r_[True, found[1:] != found[:-1]]]
+
 
+def word_memo() -> Memo:
+    return Memo(xxhash.xxh3_64_intdigest, KNOWN_WORDS)
 
-def wide_fingerprint(text: str | None, shingle: int) -> bytes:
+
+def wide_fingerprint(text: str | None, shingle: int, memo: Memo) -> bytes:
     """A 128-bit SimHash over the distinct shingles of one text."""
-    found = b"".join(xxhash.xxh3_128_digest(x) for x in shingle_set(text, shingle))
-    if not found:
-        return bytes(16)
-    ones, rows = np.zeros(128, np.int64), np.frombuffer(found, np.uint8).reshape(-1, 16)
+    found = shingle_hashes(text, shingle, memo)
+    ones, rows = np.zeros(128, np.int64), np.stack([found, mixed(found + np.uint64(1))], axis=1).view(np.uint8)
     for at in range(0, len(rows), 1 << 15):
         ones += np.unpackbits(rows[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > len(rows)).tobytes()
@@ -132,10 +150,10 @@ def wide_fingerprint(text: str | None, shingle: int) -> bytes:
 
 def _wide_fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = word_memo()
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            parts = np.frombuffer(b"".join(wide_fingerprint(t, shingle) for t in batch.column("text").to_pylist()), ">u4").reshape(-1, TABLES)
-            names = [f"f{i}" for i in range(TABLES)]
-            yield pa.RecordBatch.from_arrays([batch.column("text_id"), *[pa.array(parts[:, i].astype(np.int64)) for i in range(TABLES)]], ["text_id", *names])
+            parts = np.frombuffer(b"".join(wide_fingerprint(t, shingle, memo) for t in batch.column("text").to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("text_id"), pa.array(parts[:, 0].copy()), pa.array(parts[:, 1].copy())], ["text_id", "high", "low"])
 
     return run
 
@@ -143,19 +161,24 @@ def _wide_fingerprints(shingle: int):
 def candidate_links(prints: DataFrame, bits: int) -> DataFrame:
     """Links (a, b) of texts of which a table's ``bits`` bits differ in at most two places.
 
-    Every text emits the variants of each table within one flipped bit; a link joins each
-    text of a variant to its smallest, so a crowded variant costs a link per text. Links stay
-    if the whole fingerprints differ by at most a quarter.
+    Texts of one code link to its first text; codes at most two bits apart are linked by ball
+    hashing, so a crowded variant is a bit set of constant size and a crowded code costs a link
+    a text. Links stay if the whole fingerprints differ by at most a quarter.
     """
-    tables = prints.select("text_id", F.posexplode(F.array(*[f"f{i}" for i in range(TABLES)])).alias("t", "f"))
-    emitted = tables.select("text_id", F.expr(f"cast(t as bigint) * 4294967296 + shiftright(f, {32 - bits})").alias("code"), F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))).alias("bit"))
-    variants = emitted.selectExpr("text_id", "if(bit < 0, code, code ^ shiftleft(1L, bit)) as variant")
-    smallest = F.first("text_id").over(Window.partitionBy("variant").orderBy("text_id").rowsBetween(Window.unboundedPreceding, 0))
-    links = variants.select(F.col("text_id").alias("b"), smallest.alias("a")).where("a <> b").distinct()
-    side = lambda of: prints.select(F.col("text_id").alias(of), F.array(*[f"f{i}" for i in range(TABLES)]).alias(f"f{of}"))
+    # The 128 bits in three runs: 42 of the high half, 42 of the low half, and the 22 left over of each, in turn.
+    cut = lambda x: f"(({x}) & {(1 << CODE_BITS) - 1}L)"
+    codes = ["shiftrightunsigned(high, 22)", "shiftrightunsigned(low, 22)", "shiftleft(high & 4194303L, 20) | (low & 1048575L)"]
+    codes = [f"cast({t} as bigint) * {1 << CODE_BITS}L + shiftright({cut(c)}, {CODE_BITS - bits})" for t, c in enumerate(codes)]
+    coded = prints.select("text_id", F.explode(F.array(*map(F.expr, codes))).alias("fp"))
+    first = materialise(coded.groupBy("fp").agg(F.min("text_id").alias("first")), "codes")
+    same = coded.join(first, "fp").select(F.col("first").alias("a"), F.col("text_id").alias("b")).where("a <> b")
+    near = ball_links(first.select("fp"), 2, bits)
+    of = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_text"))
+    near = near.join(of("a"), "a").join(of("b"), "b").select(F.least("a_text", "b_text").alias("a"), F.greatest("a_text", "b_text").alias("b"))
+    links = same.unionAll(near.where("a <> b")).distinct()
+    side = lambda of: prints.select(F.col("text_id").alias(of), F.col("high").alias(f"high_{of}"), F.col("low").alias(f"low_{of}"))
     both = links.join(side("a"), "a").join(side("b"), "b")
-    apart = " + ".join(f"bit_count(fa[{i}] ^ fb[{i}])" for i in range(TABLES))
-    return both.where(f"{apart} <= {32 * TABLES // 4}").select("a", "b")
+    return both.where("bit_count(high_a ^ high_b) + bit_count(low_a ^ low_b) <= 32").select("a", "b")
 
 
 def similarity(a: str, b: str, shingle: int):
@@ -163,28 +186,24 @@ def similarity(a: str, b: str, shingle: int):
 
     @F.arrow_udf("double")
     def jaccard(left: pa.Array, right: pa.Array) -> pa.Array:
-        out, last, held = [], None, set()
+        memo, out, last, held = word_memo(), [], None, np.zeros(0, np.uint64)
         for x, y in zip(left, right):
-            x, y = x.as_py(), shingle_set(y.as_py(), shingle)
+            x, y = x.as_py(), shingle_hashes(y.as_py(), shingle, memo)
             if x != last:
-                last, held = x, shingle_set(x, shingle)
-            both = len(held & y)
-            out.append(both / (len(held) + len(y) - both) if held or y else 1.0)
+                last, held = x, shingle_hashes(x, shingle, memo)
+            both = len(np.intersect1d(held, y, assume_unique=True))
+            out.append(both / (len(held) + len(y) - both))
         return pa.array(out, pa.float64())
 
     return jaccard(a, b)
 
 
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's shingles; a wordless text has the one hash zero."""
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingle_set(text, shingle) or {b""}), np.uint64)).view(np.int64)
-
-
 def _hashes(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = word_memo()
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            for text in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text, shingle))], ["token"])
+            found = [shingle_hashes(text, shingle, memo) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
 
     return run
 
@@ -195,8 +214,8 @@ def needed(n, least: float):
 
 
 def _postings(shingle: int, least: float, common: np.ndarray, ranks: np.ndarray):
-    def prefix(text: str | None) -> tuple[np.ndarray, int]:
-        held = shingle_hashes(text, shingle)
+    def prefix(text: str | None, memo: Memo) -> tuple[np.ndarray, int]:
+        held = shingle_hashes(text, shingle, memo).view(np.int64)
         rank = np.zeros(len(held), np.int64)
         if len(common):
             at = np.minimum(np.searchsorted(common, held), len(common) - 1)
@@ -204,8 +223,9 @@ def _postings(shingle: int, least: float, common: np.ndarray, ranks: np.ndarray)
         return held[np.lexsort((held, rank))][: len(held) - int(needed(len(held), least)) + 1], len(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = word_memo()
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            found = [prefix(t) for t in batch.column("text").to_pylist()]
+            found = [prefix(t, memo) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(f) for f, _ in found])
             ids, n = np.repeat(batch.column("text_id").to_numpy(), sizes), np.repeat([n for _, n in found], sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f for f, _ in found])), pa.array(ids), pa.array(n.astype(np.int64))], ["token", "text_id", "n"])
@@ -213,15 +233,19 @@ def _postings(shingle: int, least: float, common: np.ndarray, ranks: np.ndarray)
     return run
 
 
-def prefix_links(distinct: DataFrame, labels: DataFrame, texts: int, shingle: int, least: float) -> DataFrame:
-    """Links (a, b) that hold every pair of similarity ``least`` or more whose labels differ.
+def relabelled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """``met`` with the label of each text; only texts that others are linked to are looked up."""
+    moved = labels.where("node <> label").select(F.col("node").alias("text_id"), "label")
+    return met.drop("label").join(moved, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+
+
+def crossing_prefixes(distinct: DataFrame, labels: DataFrame, texts: int, shingle: int, least: float) -> DataFrame:
+    """(token, text_id, n) of the prefix shingles that texts of different labels have; n counts a text's shingles.
 
-    In any one order of shingles, two such texts share one of the first n - needed(n) + 1
-    shingles of each, and so many of them that the rest could make up the similarity: prefix
-    filtering, which is complete at every number of texts and for every kind of edit. The order
-    puts shingles last that are common in a sample of the texts, so few texts meet in them; the
-    sample changes the work, never the links that hold. ``labels`` (node, label) name what is
-    already connected: of a shingle only the texts outside its largest label meet all others.
+    In any one order of shingles, two texts of similarity ``least`` or more share one of the
+    first n - needed(n) + 1 shingles of each: prefix filtering, which is complete at every number of
+    texts and for every kind of edit. The order puts shingles last that are common in a sample
+    of the texts, so few texts meet in them; the sample changes the work, never the result.
     """
     share = max(1, texts // SAMPLED)
     drawn = distinct.where(F.pmod(F.xxhash64("text_id"), F.lit(share)) == 0).select("text").mapInArrow(_hashes(shingle), "token long")
@@ -230,42 +254,51 @@ def prefix_links(distinct: DataFrame, labels: DataFrame, texts: int, shingle: in
     often = often[np.argsort(often[:, 0])]
     postings = distinct.mapInArrow(_postings(shingle, least, often[:, 0].copy(), often[:, 1].copy()), "token long, text_id long, n long")
     postings = materialise(postings, "shingle-prefixes")
-    # Labels of linked texts only: all others are their own label.
-    moved = labels.where("node <> label").select(F.col("node").alias("text_id"), "label")
-    labelled = postings.join(moved, "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
-    crossing = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    met = materialise(labelled.join(materialise(crossing, "crossing-shingles"), "token"), "crossing-prefixes")
+    crossing = relabelled(postings, labels).groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    return materialise(postings.join(materialise(crossing, "crossing-shingles"), "token"), "crossing-prefixes")
+
+
+def meeting_links(met: DataFrame, labels: DataFrame, least: float, guides: int | None = None, seed: int = 0) -> DataFrame:
+    """Links (a, b) of texts of different labels that meet in a prefix shingle and may be similar.
+
+    Of a shingle the texts outside its largest label meet all others; with ``guides``, only so
+    many of the largest label, and only in crowded shingles, so that links are in proportion to the texts. What they share
+    within the prefixes, and could share beyond, must make up the similarity.
+    """
+    met = relabelled(met, labels)
     sizes = met.groupBy("token", "label").count()
-    main = sizes.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    x = met.join(main, "token").where("label <> main").select("token", F.col("text_id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), "main")
-    y = met.select("token", F.col("text_id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
+    main = sizes.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("crowd")).where(f"labels > 1 and crowd > {8 * guides if guides else 1}").drop("labels", "crowd")
+    held = met.join(main, "token")
+    x = held.where("label <> main").select("token", F.col("text_id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), "main")
+    y = held.select("token", F.col("text_id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
+    if guides:
+        of_main = held.where("label = main").groupBy("token").agg(F.array_distinct(F.array(*[F.min_by(F.struct("text_id", "n", "label"), F.xxhash64("text_id", F.lit(seed * guides + i))) for i in range(guides)])).alias("of"))
+        y = of_main.select("token", F.explode("of").alias("g")).select("token", F.col("g.text_id").alias("y"), F.col("g.n").alias("ny"), F.col("g.label").alias("ly"))
     pairs = x.join(y, "token").where(f"lx <> ly and (ly = main or x < y) and least(nx, ny) >= {least} * greatest(nx, ny) - 1e-9")
     counted = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("both"), F.first(F.col("nx") + F.col("ny")).alias("total"), F.first(F.greatest("nx", "ny")).alias("longer"))
     # The shared shingles beyond a prefix are at most those that follow it.
     rest = F.greatest(F.lit(1), F.ceil(F.col("longer") * least - F.lit(1e-9))) - 1
-    return counted.where(F.col("both") + rest >= F.col("total") * (least / (1 + least)) - 1e-6).select("a", "b")
+    bound = F.lit(True) if guides else F.col("both") + rest >= F.col("total") * (least / (1 + least)) - 1e-6
+    return counted.where(bound).select("a", "b")
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of every document with an id: texts linked by similar word shingles.
+def similar_rows(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(row_id, doc_id, component_id, first) of rows (row_id, doc_id, text) whose row_id tells them apart.
 
-    Equal texts are one class first. First candidates come from ball hashing of four short
-    fingerprints of two-word shingles, which near copies hardly change; only those whose
-    five-word shingles (``shingle``) have a Jaccard similarity of ``least`` are linked. That
-    connects large groups cheaply but misses pairs; ``prefix_links`` then brings every such
-    pair that is not yet connected, so that components are those of all pairs (but for equal
-    64-bit hashes of different shingles within one text). Null, empty and wordless texts are
-    one class; null ids are left out. No rows: no result.
+    Rows belong together if their texts are linked by similar word shingles; component_id is
+    the smallest doc_id of a component, and ``first`` marks one of its rows with that id (the
+    smallest row_id). Rows that repeat an id stay apart, with equal or different texts.
     """
-    held = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
-    held = held.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("hash", F.sha2("text", 256))
-    # Written first, so that a join can split the copies of one text over tasks.
-    classes = materialise(held.groupBy("hash").agg(F.min("doc_id").alias("text_id")), "distinct-texts")
-    known = materialise(held.select("doc_id", "hash").join(classes, "hash").select("doc_id", "text_id"), "text-classes")
-    distinct = held.join(known.where("doc_id = text_id").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("text_id"), "text")
-    prints = materialise(distinct.mapInArrow(_wide_fingerprints(2), "text_id long, " + ", ".join(f"f{i} long" for i in range(TABLES))), "wide-fingerprints")
+    held = rows.select("row_id", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hashed = held.select("row_id", "doc_id", F.sha2("text", 256).alias("hash"))
+    # Equal texts are one class. Written first, so that a join can split the copies of one text over tasks.
+    classes = materialise(hashed.groupBy("hash").agg(F.min(F.struct("doc_id", "row_id")).alias("head")), "distinct-texts")
+    known = materialise(hashed.join(classes, "hash").select("row_id", "doc_id", F.col("head.row_id").alias("text_id"), F.col("head.doc_id").alias("least")), "text-classes")
+    heads = known.where("row_id = text_id")
+    distinct = held.join(heads.select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("text_id"), "text")
+    prints = materialise(distinct.mapInArrow(_wide_fingerprints(2), "text_id long, high long, low long"), "wide-fingerprints")
     texts = prints.count()
-    nodes, bits = prints.select(F.col("text_id").alias("node")), min(32, max(1, texts).bit_length() + 8)
+    nodes, bits = prints.select(F.col("text_id").alias("node")), min(CODE_BITS, max(1, texts).bit_length() + 8)
     left, right = (distinct.select(F.col("text_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def verified(links: DataFrame) -> DataFrame:
@@ -274,10 +307,39 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     similar = verified(candidate_links(prints, bits))
     labels = materialise(components(nodes, similar), "text-labels")
-    rest = verified(prefix_links(distinct, labels, texts, shingle, least))
-    if not rest.isEmpty():
-        labels = materialise(components(nodes, similar.unionAll(rest)), "text-labels")
-    return known.join(labels.withColumnRenamed("node", "text_id"), "text_id").select("doc_id", F.col("label").alias("component_id"))
+    met = crossing_prefixes(distinct, labels, texts, shingle, least)
+    # Guided rounds connect what they can of crowded shingles; the last round compares all that is left.
+    for seed, guides in enumerate((*[GUIDES] * GUIDED_ROUNDS, None)):
+        more = verified(meeting_links(met, labels, least, guides, seed))
+        if not more.isEmpty():
+            similar = similar.unionAll(more)
+            labels = materialise(components(nodes, similar), "text-labels")
+    # Of a text no other is linked to nothing moves; the smallest id of a component is known by its label.
+    labels = labels.withColumnRenamed("node", "text_id")
+    heads = heads.join(labels, "text_id").groupBy("label").agg(F.min(F.struct("least", "row_id")).alias("head"))
+    named = labels.join(heads, "label").select("text_id", F.col("head.least").alias("component_id"), F.col("head.row_id").alias("kept"))
+    return known.join(named, "text_id").select("row_id", "doc_id", "component_id", (F.col("row_id") == F.col("kept")).alias("first"))
+
+
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row_id, in the shared folder: an id of its own for each row, kept whatever runs again."""
+    return materialise(docs.withColumn("row_id", F.monotonically_increasing_id()), "numbered-rows")
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row with an id: texts linked by similar word shingles.
+
+    Equal texts are one class first. First candidates come from ball hashing of three short
+    fingerprints of two-word shingles, which near copies hardly change; only those whose
+    five-word shingles (``shingle``) have a Jaccard similarity of ``least`` are linked. That
+    connects large groups cheaply but misses pairs; prefix filtering then brings every such
+    pair that is not yet connected, so that components are those of all pairs (but for equal
+    64-bit hashes of different shingles within two texts). Null, empty and wordless texts are
+    one class; null ids are left out; rows that repeat an id stay separate rows. Texts of any
+    length count whole; further columns, clashing or not, are ignored. No rows: no result.
+    """
+    held = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
+    return similar_rows(numbered_rows(held), shingle, least).select("doc_id", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
