@@ -33,10 +33,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of similar texts; documents without an id stay."""
-    docs = of_documents(docs)
-    kept = simhash.similar_texts(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """The document of smallest id of each group of similar texts; documents without an id stay.
+
+    Rows that repeat an id are told apart: one row of each group stays, and a row whose text is
+    like no other's stays whatever its id.
+    """
+    docs = simhash.numbered_rows(of_documents(docs))
+    found = simhash.similar_rows(docs.where("doc_id is not null"))
+    kept = docs.join(found.where("first").select("row_id"), "row_id", "left_semi")
+    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = of_documents(docs)
     rates = mixing.mix(docs, table(spark, sf_dir, "labels"), targets=TARGETS).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
     # Documents without an id have no rate of their own: they stay once.
-    joined = docs.join(rates, docs.doc_id.eqNullSafe(rates.doc_id), "left").select(docs["*"], F.when(docs.doc_id.isNull(), 1).otherwise(F.col("_copies")).alias("_copies"))
+    joined = docs.where("doc_id is not null").join(rates, "doc_id").unionByName(docs.where("doc_id is null").withColumn("_copies", F.lit(1)))
     return joined.where("_copies > 0").select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
