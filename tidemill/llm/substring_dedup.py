@@ -17,6 +17,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 #: Text bytes that one map step hashes together, one window bucket covers, one document block holds.
 CHUNK_BYTES, BUCKET_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20, 4 << 20
 LEAST_BUCKETS = 256
+#: Text bytes whose windows or documents one shuffle partition holds; the number of partitions follows from it.
+PARTITION_BYTES = 32 << 20
 KNOWN_WORDS = 100_000
 #: Spread ids over blocks; the product stays below 2**63.
 MIX_MODULUS, MIX_FACTOR = 2147483647, 2654435761
@@ -168,22 +170,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Earlier means a smaller id, or the same id and an earlier start. Every window's Rabin-Karp
     hash is kept once per map step (its earliest place); packed hash blocks meet by bucket,
     where all but the earliest window of a hash are late; late windows return to their
-    documents by block and merge into maximal intervals. Hashes have 64 bits.
+    documents by block and merge into maximal intervals. Windows are equal if their 64-bit
+    hashes are: n distinct windows hold about n^2 / 2^65 false pairs, so one is to be expected
+    from some 6e9 windows (about 35 GB of text) on.
 
     Words are runs of bytes other than ASCII white space. Result: doc_id, n_words, n_removed,
     removed (word intervals, stop exclusive), kept_text (kept words joined by one space).
 
     A null or empty text has no words. A row with a null id keeps all its words and marks no
     other. Rows that repeat an id share their marks, and equal (id, start) places are not
-    earlier than each other, so exact repeats of a row get equal results. No rows: no result.
+    earlier than each other, so exact repeats of a row get equal results. Texts of any length
+    are read whole; further columns, clashing or not, are ignored. No rows: no result.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     size = text_bytes(docs, "text")
     buckets, blocks = max(LEAST_BUCKETS, size // BUCKET_BYTES), max(LEAST_BUCKETS, size // BLOCK_BYTES)
     windows = docs.where("doc_id is not null and text is not null").mapInArrow(_windows(width, buckets, blocks), BLOCK_SCHEMA)
-    marks = windows.groupBy("bucket").applyInArrow(_late_windows(blocks), MARK_SCHEMA)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
+    marks = windows.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_late_windows(blocks), MARK_SCHEMA).repartition(parts, "block")
     place = F.shiftright(F.pmod("doc_id", F.lit(MIX_MODULUS)) * MIX_FACTOR, 20) % blocks
-    held = docs.withColumn("block", F.coalesce(place, F.pmod(F.xxhash64("text"), F.lit(blocks))))
+    held = docs.withColumn("block", F.coalesce(place, F.pmod(F.xxhash64("text"), F.lit(blocks)))).repartition(parts, "block")
     return held.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cleaned(width), RESULT_SCHEMA)
 
 
