@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import ann, mixing, quality, toxicity
+from tidemill.llm.training import fit_in_task
 
 BIG = "/root/testdata/sf0.01"
 
@@ -160,3 +161,19 @@ def test_mixing_of_odd_rows(odd, empty, labels, no_labels):
 
 def test_route_keeps_types():
     assert ann._matrix(pa.array([[1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float32()))).tolist() == [[1, 2], [3, 4]]
+
+
+def test_recall_of_the_query_itself(spark, monkeypatch):
+    """Over ``embeddings``, against brute force, in several parts of which not all are read."""
+    fitted = []
+    monkeypatch.setattr(ann, "fit_in_task", lambda rows, fit: fitted.append(fit_in_task(rows, fit)) or fitted[-1])
+    found = ann.op6_ann(spark, "/root/testdata/sf0.1").toPandas()
+    held = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toPandas().dropna()
+    x, ids = np.array(held["embedding"].tolist(), float), held["vec_id"].to_numpy()
+    hits = 0
+    for q, near in found.groupby("query_id")["score"]:
+        d = np.sort(np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))[ids != q])[:10]
+        hits += (near.to_numpy() <= d[-1] + 1e-9).sum()
+    model = ann._loaded(fitted[0])
+    assert hits >= 0.9 * len(found) and len(found) == 10 * (ids % 100 == 0).sum()
+    assert model["v"].shape[1] >= 4 and model["probes"] < model["v"].shape[1]

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from .common import materialise, pick, table
 from .training import fit_in_task
 
-#: Vectors in the fit at most, rows of a part and of a block, most parts.
-MOST_SAMPLED, PART_ROWS, BLOCK_ROWS, MOST_PARTS = 8000, 3000, 1000, 1024
+#: Vectors in the fit at most, rows of a part and of a block, fewest parts, rows a part has at least, most parts.
+MOST_SAMPLED, PART_ROWS, BLOCK_ROWS, LEAST_PARTS, LEAST_ROWS, MOST_PARTS = 8000, 3000, 1000, 16, 100, 1024
 #: Neighbours in the graph, slack of a part, refinement rounds, recall to reach on the sample.
-GRAPH, SLACK, PASSES, AIM = 10, 1.1, 6, 0.985
+GRAPH, SLACK, PASSES, AIM = 10, 1.1, 6, 0.95
 HIDDEN, EPOCHS, BATCH, RATE = 64, 60, 256, 0.01
 
 
@@ -197,7 +197,7 @@ def search(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id
     """
     rows = usable(vectors, id_col, vector_col)
     total = rows.count()
-    parts = max(1, min(MOST_PARTS, round(total / part_rows)))
+    parts = max(1, min(MOST_PARTS, max(round(total / part_rows), min(LEAST_PARTS, total // LEAST_ROWS))))
     sample = rows.orderBy(F.xxhash64("id"), "id", "vector").limit(MOST_SAMPLED).select("vector")
     model = fit_in_task(sample, lambda held: fit(held, parts, k))
     if model is None:
