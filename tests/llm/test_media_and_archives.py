@@ -1,5 +1,8 @@
 import hashlib
+import os
 import struct
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -7,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import flac, warc
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def payloads():
     random = np.random.default_rng(3)
@@ -139,3 +144,39 @@ def test_header_number_coding():
         if number < 0x110000 and not 0xD800 <= number < 0xE000:
             assert head[4 : 4 + len(chr(number).encode())] == chr(number).encode()
     assert struct.unpack(">H", head[-3:-1])[0] == 6
+
+
+def test_long_streams_equal_those_made_at_once(monkeypatch):
+    random = np.random.default_rng(3)
+    payload = (random.integers(0, 40, 40_000).cumsum() % 251).astype(np.uint8).tobytes()
+    whole = flac.encode_many([payload])[0]
+    for step in (1024, 8192, 1 << 18):
+        monkeypatch.setattr(flac, "STEP_BYTES", step)
+        assert flac.encode([b"abc", payload, b"abc"]) == [*flac.encode_many([b"abc"]), whole, *flac.encode_many([b"abc"])]
+        (samples,) = flac.decode_many([whole])
+        assert (samples + 128).astype(np.uint8).tobytes() == payload
+        wide = samples.astype(int)
+        assert flac.feature_of(samples) == f"peak={abs(wide).max()};energy={(wide * wide).sum()};crossings={((wide[1:] < 0) != (wide[:-1] < 0)).sum()}"
+
+
+MEASURED = """
+import resource, sys
+from tidemill.llm import flac, quality
+text = " ".join(f"word{i % 9973}" for i in range(20_000_000 // 9))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+if sys.argv[1] == "flac":
+    raw = text.encode()
+    (media,) = flac.encode([raw])
+    (samples,) = flac.decode_many([media])
+    assert len(samples) == len(raw) and flac.feature_of(samples)
+else:
+    x, counts = quality.encode_passages([text])
+    assert counts.tolist() == [len(x)] and len(quality.Model.fresh().forward(x, counts)[0]) == 1
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+@pytest.mark.parametrize("which", ["flac", "quality"])
+def test_memory_of_a_text_of_20_megabytes(which):
+    done = subprocess.run([sys.executable, "-c", MEASURED, which], capture_output=True, text=True, cwd=ROOT, check=True, env=os.environ | {"OPENBLAS_NUM_THREADS": "1"})
+    assert int(done.stdout) < 300

@@ -73,9 +73,45 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, dtype=np.int64)
 
 
-def encode_many(payloads: list[bytes]) -> list[bytes]:
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """Streams of payloads of any length, as ``encode_many`` gives them, in steps of ``STEP_BYTES`` at most."""
+    short = [p for p in payloads if len(p) <= STEP_BYTES]
+    made = dict(zip(short, encode_many(short))) if short else {}
+    return [made[p] if len(p) <= STEP_BYTES else encode_long(p) for p in payloads]
+
+
+def encode_long(payload: bytes) -> bytes:
+    """The stream of one payload, a step of whole frames after the other."""
+    frames, points, sizes, md5, at = [], [], [], hashlib.md5(), 0
+    for start in range(0, len(payload), STEP_BYTES):
+        part = payload[start : start + STEP_BYTES]
+        media = encode_many([part], start // BLOCK)[0]
+        _, held, begin = read_metadata(media)
+        held[:, 0] += start
+        held[:, 1] += at
+        points.append(held)
+        sizes += [int.from_bytes(media[12:15], "big"), int.from_bytes(media[15:18], "big")]
+        frames.append(media[begin:])
+        at += len(frames[-1])
+        md5.update((np.frombuffer(part, np.uint8) ^ 128).tobytes())
+    return _stream(len(payload), min(sizes[::2]), max(sizes[1::2]), md5.digest(), np.concatenate(points)) + b"".join(frames)
+
+
+def _stream(samples: int, least: int, most: int, digest: bytes, points: np.ndarray) -> bytes:
+    """What precedes the frames: stream information and the seek table (sample, offset, count)."""
+    table = np.zeros(len(points), [("sample", ">u8"), ("offset", ">u8"), ("count", ">u2")])
+    for i, name in enumerate(("sample", "offset", "count")):
+        table[name] = points[:, i]
+    info = struct.pack(">HH", min(BLOCK, max(16, samples)), min(BLOCK, max(16, samples))) + least.to_bytes(3, "big") + most.to_bytes(3, "big")
+    info += (RATE << 44 | 0 << 41 | 7 << 36 | samples).to_bytes(8, "big") + digest
+    return b"fLaC" + b"\x00" + (34).to_bytes(3, "big") + info + b"\x83" + (18 * len(points)).to_bytes(3, "big") + table.tobytes()
+
+
+def encode_many(payloads: list[bytes], number: int = 0) -> list[bytes]:
     """Lossless 8-bit mono streams; sample = byte - 128. Every payload has a byte at least.
 
+    Frames are counted from ``number``.
+
     Of each frame's predictors (fixed of order 0 to 2, linear of order 2) the one with the
     smallest residuals is kept, and coded with one Rice parameter.
     """
@@ -130,7 +166,7 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
 
     total = np.cumsum(bits)
     body = -(-np.add.reduceat(bits, slot0) // 8)
-    heads = [frame_header(n, s) for n, s in zip(nth.tolist(), length.tolist())]
+    heads = [frame_header(number + n, s) for n, s in zip(nth.tolist(), length.tolist())]
     head_size = np.array([len(h) for h in heads])
     frame_size = head_size + body + 2
     first = np.cumsum(frames) - frames
@@ -159,14 +195,11 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     buffer[end - 2], buffer[end - 1] = check >> 8, check & 255
 
     signed = (x & 255).astype(np.uint8)
-    points = np.zeros(len(nth), [("sample", ">u8"), ("offset", ">u8"), ("count", ">u2")])
-    points["sample"], points["offset"], points["count"] = nth * BLOCK, offset, length
+    points = np.stack([nth * BLOCK, offset, length], axis=1)
     result = []
     for i, (f, n, s, o) in enumerate(zip(first.tolist(), frames.tolist(), sizes.tolist(), stream_at.tolist())):
         held, sample0 = frame_size[f : f + n], int(start[f])
-        info = struct.pack(">HH", min(BLOCK, max(16, s)), min(BLOCK, max(16, s))) + int(held.min()).to_bytes(3, "big") + int(held.max()).to_bytes(3, "big")
-        info += (RATE << 44 | 0 << 41 | 7 << 36 | s).to_bytes(8, "big") + hashlib.md5(signed[sample0 : sample0 + s]).digest()
-        head = b"fLaC" + b"\x00" + (34).to_bytes(3, "big") + info + b"\x83" + (18 * n).to_bytes(3, "big") + points[f : f + n].tobytes()
+        head = _stream(s, int(held.min()), int(held.max()), hashlib.md5(signed[sample0 : sample0 + s]).digest(), points[f : f + n])
         raw[o : o + len(head)] = head
         result.append(bytes(raw[o : o + int(stream_size[i])]))
     return result
@@ -286,15 +319,18 @@ def decode_many(streams: list[bytes]) -> list[np.ndarray]:
                 at = end
             slow[s] = np.concatenate(out) if out else np.zeros(0, np.int64)
     parts: list[list[np.ndarray]] = [[] for _ in streams]
-    if frames:
-        buffer = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
-        base = np.cumsum([0, *map(len, streams[:-1])])
-        which, at, head, size, total = (np.array(c) for c in zip(*frames))
-        at = at + base[which]
+    # A step reads frames of about so many bytes, however long their streams are.
+    step = np.cumsum([total for *_, total in frames]) // (4 * STEP_BYTES)
+    for group in np.split(np.arange(len(frames)), np.flatnonzero(np.diff(step)) + 1) if frames else ():
+        held = [frames[i] for i in group]
+        buffer = np.frombuffer(b"".join(streams[s][at : at + total] for s, at, _, _, total in held) + bytes(16), np.uint8)
+        which, _, head, size, total = (np.array(c) for c in zip(*held))
+        at = np.cumsum(total) - total
         if crc16(buffer, at, total).any():  # over the checksum too, it comes out as zero
             raise Damaged("a frame's checksum is wrong")
-        for (s, *_), samples in zip(frames, _read_frames(buffer, at + head, size, np.array([heads[s][0]["bits"] for s, *_ in frames]), at + total)):
-            parts[s].append(samples)
+        depth = np.array([heads[s][0]["bits"] for s in which.tolist()])
+        for s, samples in zip(which.tolist(), _read_frames(buffer, at + head, size, depth, at + total)):
+            parts[s].append(samples.astype(np.int16 if heads[s][0]["bits"] <= 8 else np.int64))
     result = []
     for s, (info, *_) in enumerate(heads):
         samples = slow[s] if s in slow else np.concatenate(parts[s])
@@ -417,13 +453,14 @@ def _each(column: pa.Array, run) -> list:
 def to_media(text: Column | str) -> Column:
     """FLAC column of a text column: UTF-8 bytes and zeros up to a positive multiple of 64.
 
-    Null is an empty text: 64 zero bytes. Equal texts give equal streams.
+    Null is an empty text: 64 zero bytes. Equal texts give equal streams. Texts of any length
+    are coded in steps of whole frames.
     """
 
     @F.arrow_udf("binary")
     def encoded(texts: pa.Array) -> pa.Array:
         pad = lambda raw: raw + bytes(-len(raw) % ALIGN or (0 if raw else ALIGN))
-        return pa.array(_each(texts.fill_null(""), lambda held: encode_many([pad(t.encode()) for t in held])), pa.binary())
+        return pa.array(_each(texts.fill_null(""), lambda held: encode([pad(t.encode()) for t in held])), pa.binary())
 
     # Else the optimizer would encode again for every use of the column.
     return encoded.asNondeterministic()(text)
@@ -431,8 +468,14 @@ def to_media(text: Column | str) -> Column:
 
 def feature_of(samples: np.ndarray) -> str:
     """Peak, energy and sign changes of the samples, as integers."""
-    wide = samples.astype(np.int64)
-    return f"peak={int(np.abs(wide).max(initial=0))};energy={int((wide * wide).sum())};crossings={int(((wide[1:] < 0) != (wide[:-1] < 0)).sum())}"
+    peak, energy, crossings, last = 0, 0, 0, None
+    for at in range(0, len(samples), STEP_BYTES):
+        wide = samples[at : at + STEP_BYTES].astype(np.int64)
+        peak, energy = max(peak, int(np.abs(wide).max())), energy + int((wide * wide).sum())
+        below = wide < 0
+        crossings += int((below[1:] != below[:-1]).sum()) + (last is not None and bool(below[0]) != last)
+        last = bool(below[-1])
+    return f"peak={peak};energy={energy};crossings={crossings}"
 
 
 def from_media(media: Column | str) -> Column:
@@ -468,8 +511,11 @@ def pcm_blocks(df: DataFrame, media: str = "media", block: int = 4096) -> DataFr
         kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))
         return pa.array(_each(streams, run), kind)
 
-    others = [c for c in df.columns if c != media]
-    return df.select(*others, F.explode(blocks(media)).alias("_block")).select(*others, "_block.*")
+    # By position, so that columns named alike or like this function's own cannot be confused.
+    held = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    others = [(f"_{i}", c) for i, c in enumerate(df.columns) if i != df.columns.index(media)]
+    rows = held.select(*[o for o, _ in others], F.explode(blocks(f"_{df.columns.index(media)}")).alias("block"))
+    return rows.select(*[F.col(o).alias(c) for o, c in others], "block.sample_offset", "block.n_samples", "block.pcm")
 
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
