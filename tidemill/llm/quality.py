@@ -15,7 +15,8 @@ from .training import fit_in_task, fold, labelled_sample
 
 #: Bytes of one passage, labelled documents in a fit at most, and the fold held out.
 PASSAGE, MOST_LABELLED, FOLDS, HELD = 400, 8000, 4, 2
-CHUNK_BYTES = 2 << 20
+#: Bytes encoded at a time, and of a run of passages of one text.
+CHUNK_BYTES, RUN_BYTES = 2 << 20, 2000 * PASSAGE
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 24, 12, 30, 64, 0.005, 1e-4
 
 #: Byte classes; the encoding counts each pair of neighbours' classes.
@@ -35,9 +36,27 @@ def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of all passages, and how many passages each text has (at least one).
 
     A passage is encoded by the frequencies of neighbouring byte classes, its length, whether
-    it is empty, and the share of its words that repeat the word before.
+    it is empty, and the share of its words that repeat the word before. Long texts are encoded
+    in runs of passages; nothing is compared across the ends of runs.
     """
-    raw = [(t or "").encode() for t in texts]
+    runs, of = [], []
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        runs += [raw[at : at + RUN_BYTES] for at in range(0, max(1, len(raw)), RUN_BYTES)]
+        of += [i] * (len(runs) - len(of))
+    held, some, size = [], [], 0
+    for k, raw in enumerate(runs):
+        some.append(raw)
+        size += len(raw)
+        if size >= CHUNK_BYTES or k == len(runs) - 1:
+            held.append(encode_runs(some))
+            some, size = [], 0
+    counts = np.bincount(of, np.concatenate([c for _, c in held]), len(texts)).astype(np.int64)
+    return np.concatenate([x for x, _ in held]), counts
+
+
+def encode_runs(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows of the passages of each run of bytes, and their number."""
     sizes = np.array([len(r) for r in raw], np.int64)
     counts = np.maximum(1, -(-sizes // PASSAGE))
     joined = np.frombuffer(b"".join(raw), np.uint8)
@@ -89,7 +108,7 @@ class Model:
 
     def forward(self, x: np.ndarray, counts: np.ndarray) -> tuple:
         p, starts = self.p, np.cumsum(counts) - counts
-        h = np.tanh(x @ p["w"] + p["b"])
+        h = np.concatenate([np.tanh(x[i : i + 4096] @ p["w"] + p["b"]) for i in range(0, len(x), 4096)])
         t, g = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-(h @ p["u"])))
         e = (t * g) @ p["a"]
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), counts))
@@ -173,7 +192,7 @@ def score(text: str, model: bytes | None) -> Column:
         held, out = Model.load(model), [np.zeros(0)]
         for batch in chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", CHUNK_BYTES):
             x, counts = encode_passages(batch.column("text").to_pylist())
-            out.append(held.forward(x.astype(np.float64), counts)[0].round(9))
+            out.append(held.forward(x, counts)[0].round(9))
         return pa.array(np.concatenate(out), pa.float64())
 
     return scored(text)
@@ -183,7 +202,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """(doc_id, held_out, score, predicted) of every document, learned from the ``quality`` label.
 
     Null ids are never held out and their labels never learned; repeated ids are scored row by
-    row. No documents: no result. No usable labels: every score is 0.5.
+    row. Texts of any length are read whole; further columns, clashing or not, are ignored. No
+    documents: no result. No usable labels: every score is 0.5.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     scored = docs.select("doc_id", score("text", train(docs, labels)).alias("score"))
