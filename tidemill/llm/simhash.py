@@ -152,8 +152,9 @@ def _wide_fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            parts = np.frombuffer(b"".join(wide_fingerprint(t, shingle, memo) for t in batch.column("text").to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("text_id"), pa.array(parts[:, 0].copy()), pa.array(parts[:, 1].copy())], ["text_id", "high", "low"])
+            prints = b"".join(wide_fingerprint(t, n, memo) for t in batch.column("text").to_pylist() for n in (2, shingle))
+            parts = np.frombuffer(prints, ">i8").astype(np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column("text_id"), *[pa.array(parts[:, i].copy()) for i in range(4)]], ["text_id", "high", "low", "high_s", "low_s"])
 
     return run
 
@@ -228,7 +229,8 @@ def _postings(shingle: int, least: float, common: np.ndarray, ranks: np.ndarray)
             found = [prefix(t, memo) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(f) for f, _ in found])
             ids, n = np.repeat(batch.column("text_id").to_numpy(), sizes), np.repeat([n for _, n in found], sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f for f, _ in found])), pa.array(ids), pa.array(n.astype(np.int64))], ["token", "text_id", "n"])
+            place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f for f, _ in found])), pa.array(ids), pa.array(n.astype(np.int64)), pa.array(place)], ["token", "text_id", "n", "place"])
 
     return run
 
@@ -240,7 +242,9 @@ def relabelled(met: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def crossing_prefixes(distinct: DataFrame, labels: DataFrame, texts: int, shingle: int, least: float) -> DataFrame:
-    """(token, text_id, n) of the prefix shingles that texts of different labels have; n counts a text's shingles.
+    """(token, text_id, n, place) of the prefix shingles that texts of different labels have.
+
+    n counts a text's shingles, place is the shingle's among them in the order.
 
     In any one order of shingles, two texts of similarity ``least`` or more share one of the
     first n - needed(n) + 1 shingles of each: prefix filtering, which is complete at every number of
@@ -252,34 +256,45 @@ def crossing_prefixes(distinct: DataFrame, labels: DataFrame, texts: int, shingl
     often = drawn.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()
     often = np.array([(r["token"], r["count"]) for r in often], np.int64).reshape(-1, 2)
     often = often[np.argsort(often[:, 0])]
-    postings = distinct.mapInArrow(_postings(shingle, least, often[:, 0].copy(), often[:, 1].copy()), "token long, text_id long, n long")
+    postings = distinct.mapInArrow(_postings(shingle, least, often[:, 0].copy(), often[:, 1].copy()), "token long, text_id long, n long, place long")
     postings = materialise(postings, "shingle-prefixes")
     crossing = relabelled(postings, labels).groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     return materialise(postings.join(materialise(crossing, "crossing-shingles"), "token"), "crossing-prefixes")
 
 
+def apart(least: float) -> int:
+    """Bits of 128 in which fingerprints of texts of similarity ``least`` differ, and five deviations more.
+
+    Sets of that Jaccard similarity have a cosine of 2 s / (1 + s) at least, and each bit
+    differs with the share that their angle has of a half turn: for 0.8 that is 19.4 bits of
+    128 in the mean, and more than the 39 allowed in less than one pair of 10^5.
+    """
+    share = math.acos(2 * least / (1 + least)) / math.pi
+    return int(128 * share + 5 * math.sqrt(128 * share * (1 - share)))
+
+
 def meeting_links(met: DataFrame, labels: DataFrame, least: float, guides: int | None = None, seed: int = 0) -> DataFrame:
     """Links (a, b) of texts of different labels that meet in a prefix shingle and may be similar.
 
     Of a shingle the texts outside its largest label meet all others; with ``guides``, only so
-    many of the largest label, and only in crowded shingles, so that links are in proportion to the texts. What they share
-    within the prefixes, and could share beyond, must make up the similarity.
+    many of the largest label, and only in crowded shingles, so that links are in proportion to
+    the texts. A shingle counts for two texts if it may be the first they share, and their
+    fingerprints must not be further ``apart`` than similar texts have them.
     """
     met = relabelled(met, labels)
     sizes = met.groupBy("token", "label").count()
     main = sizes.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("crowd")).where(f"labels > 1 and crowd > {8 * guides if guides else 1}").drop("labels", "crowd")
     held = met.join(main, "token")
-    x = held.where("label <> main").select("token", F.col("text_id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), "main")
-    y = held.select("token", F.col("text_id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
+    x = held.where("label <> main").select("token", F.col("text_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("label").alias("lx"), "main", F.col("h").alias("hx"), F.col("l").alias("wx"))
+    y = held.select("token", F.col("text_id").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"), F.col("h").alias("hy"), F.col("l").alias("wy"))
     if guides:
-        of_main = held.where("label = main").groupBy("token").agg(F.array_distinct(F.array(*[F.min_by(F.struct("text_id", "n", "label"), F.xxhash64("text_id", F.lit(seed * guides + i))) for i in range(guides)])).alias("of"))
-        y = of_main.select("token", F.explode("of").alias("g")).select("token", F.col("g.text_id").alias("y"), F.col("g.n").alias("ny"), F.col("g.label").alias("ly"))
-    pairs = x.join(y, "token").where(f"lx <> ly and (ly = main or x < y) and least(nx, ny) >= {least} * greatest(nx, ny) - 1e-9")
-    counted = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("both"), F.first(F.col("nx") + F.col("ny")).alias("total"), F.first(F.greatest("nx", "ny")).alias("longer"))
-    # The shared shingles beyond a prefix are at most those that follow it.
-    rest = F.greatest(F.lit(1), F.ceil(F.col("longer") * least - F.lit(1e-9))) - 1
-    bound = F.lit(True) if guides else F.col("both") + rest >= F.col("total") * (least / (1 + least)) - 1e-6
-    return counted.where(bound).select("a", "b")
+        of_main = held.where("label = main").groupBy("token").agg(F.array_distinct(F.array(*[F.min_by(F.struct("text_id", "n", "place", "label", "h", "l"), F.xxhash64("text_id", F.lit(seed * guides + i))) for i in range(guides)])).alias("of"))
+        y = of_main.select("token", F.explode("of").alias("g")).select("token", F.col("g.text_id").alias("y"), F.col("g.n").alias("ny"), F.col("g.place").alias("py"), F.col("g.label").alias("ly"), F.col("g.h").alias("hy"), F.col("g.l").alias("wy"))
+    # Similar texts share so many shingles; from the first they share on, each has that many left.
+    shared = f"ceil((nx + ny) * {least / (1 + least)!r} - 1e-9)"
+    alike = f"bit_count(hx ^ hy) + bit_count(wx ^ wy) <= {apart(least)}"
+    pairs = x.join(y, "token").where(f"lx <> ly and (ly = main or x < y) and nx - px >= {shared} and ny - py >= {shared} and {alike}")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_rows(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -296,7 +311,7 @@ def similar_rows(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> DataF
     known = materialise(hashed.join(classes, "hash").select("row_id", "doc_id", F.col("head.row_id").alias("text_id"), F.col("head.doc_id").alias("least")), "text-classes")
     heads = known.where("row_id = text_id")
     distinct = held.join(heads.select("row_id"), "row_id", "left_semi").select(F.col("row_id").alias("text_id"), "text")
-    prints = materialise(distinct.mapInArrow(_wide_fingerprints(2), "text_id long, high long, low long"), "wide-fingerprints")
+    prints = materialise(distinct.mapInArrow(_wide_fingerprints(shingle), "text_id long, high long, low long, high_s long, low_s long"), "wide-fingerprints")
     texts = prints.count()
     nodes, bits = prints.select(F.col("text_id").alias("node")), min(CODE_BITS, max(1, texts).bit_length() + 8)
     left, right = (distinct.select(F.col("text_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
@@ -307,7 +322,7 @@ def similar_rows(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> DataF
 
     similar = verified(candidate_links(prints, bits))
     labels = materialise(components(nodes, similar), "text-labels")
-    met = crossing_prefixes(distinct, labels, texts, shingle, least)
+    met = materialise(crossing_prefixes(distinct, labels, texts, shingle, least).join(prints.select("text_id", F.col("high_s").alias("h"), F.col("low_s").alias("l")), "text_id"), "crossing-fingerprints")
     # Guided rounds connect what they can of crowded shingles; the last round compares all that is left.
     for seed, guides in enumerate((*[GUIDES] * GUIDED_ROUNDS, None)):
         more = verified(meeting_links(met, labels, least, guides, seed))
@@ -333,8 +348,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprints of two-word shingles, which near copies hardly change; only those whose
     five-word shingles (``shingle``) have a Jaccard similarity of ``least`` are linked. That
     connects large groups cheaply but misses pairs; prefix filtering then brings every such
-    pair that is not yet connected, so that components are those of all pairs (but for equal
-    64-bit hashes of different shingles within two texts). Null, empty and wordless texts are
+    pair that is not yet connected and whose fingerprints allow it, so that components are those
+    of all pairs, but for one pair in 10^5 at most (``apart``) of those that nothing else
+    connects, and for equal 64-bit hashes of different shingles within two texts. Null, empty and wordless texts are
     one class; null ids are left out; rows that repeat an id stay separate rows. Texts of any
     length count whole; further columns, clashing or not, are ignored. No rows: no result.
     """
