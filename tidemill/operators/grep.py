@@ -19,7 +19,8 @@ def matcher(pattern: str, *, extended: bool = False, fixed: bool = False, ignore
             java = rf"(?<!\w)(?:{java})(?!\w)"
         if whole_line:
             java = rf"^(?:{java})$"
-        found = line.rlike(f"(?i){java}" if ignore_case else java)
+        # Only a newline ends a line for grep, and letters beyond ASCII have cases too.
+        found = line.rlike(f"(?d{'iu' if ignore_case else ''}){java}")
     return ~found if invert else found
 
 
@@ -34,7 +35,7 @@ def grep(lines: DataFrame, pattern: str, *, first: int | None = None, by: tuple[
 
 def grep_only(lines: DataFrame, pattern: str, extended: bool = False) -> DataFrame:
     """Every match on a line of its own."""
-    java = grep_pattern(pattern, extended)
+    java = "(?d)" + grep_pattern(pattern, extended)
     every = F.regexp_extract_all("line", F.lit(java), F.lit(0))
     return lines.where(F.col("line").rlike(java)).withColumn("line", F.explode(every)).where("line <> ''")
 
