@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +41,20 @@ def split_lines(text: Column | str) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\z", ""), "\n")
 
 
-def numbered(df: DataFrame, coarse: Column, *order: str, name: str = "line_num") -> DataFrame:
-    """Contiguous 0-based numbers in the order of ``order``, without one global sort.
+def numbered(df: DataFrame, coarse: Column, *order: str, name: str = "line_num", by: tuple[str, ...] = ()) -> DataFrame:
+    """Contiguous 0-based numbers in the order of ``order``, in each ``by`` if given, without one global sort.
 
     ``coarse`` must never decrease along that order: rows are numbered within each of its
-    values, plus the count of all rows under smaller values.
+    values, plus the count of the group's rows under smaller values. A null counts as smallest.
     """
     marked = df.withColumn("_coarse", coarse)
-    counts = marked.groupBy("_coarse").count()
-    before = counts.select("_coarse", (F.sum("count").over(Window.orderBy("_coarse")) - F.col("count")).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy("_coarse").orderBy(*order))
-    return marked.withColumn("_inner", inner).join(before, "_coarse").withColumn(name, F.col("_before") + F.col("_inner") - 1).drop("_coarse", "_inner", "_before")
+    counts = marked.groupBy(*by, "_coarse").count()
+    earlier = F.sum("count").over(Window.partitionBy(*by).orderBy("_coarse")) - F.col("count")
+    before = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate((*by, "_coarse"))], earlier.alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(*by, "_coarse").orderBy(*order))
+    ranked = marked.withColumn("_inner", inner)
+    same = reduce(and_, [ranked[c].eqNullSafe(before[f"_by{i}"]) for i, c in enumerate((*by, "_coarse"))])
+    return ranked.join(before, same).withColumn(name, F.col("_before") + F.col("_inner") - 1).select(*df.columns, name)
 
 
 def legacy_args(spec: str) -> tuple[str, list[str]]:

@@ -65,8 +65,11 @@ def content(merged_blocks: DataFrame, per_segment: int = 256) -> DataFrame:
     segment = F.floor((F.col("pos") - 1) / per_segment).alias("segment")
     parts = merged_blocks.groupBy("file", segment).agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("parts"))
     joined = parts.select("file", "segment", F.array_join(F.transform("parts", lambda p: p["data"]), "").alias("data")).withColumn("length", F.octet_length("data").cast("long"))
+    # Only lengths are put in order in a task of their own; the data stays where its segment is.
+    lengths = merged_blocks.groupBy("file", segment).agg(F.sum(F.octet_length("data")).alias("length"))
     start = F.sum("length").over(Window.partitionBy("file").orderBy("segment")) - F.col("length")
-    return joined.select("file", "segment", start.alias("start"), "length", "data")
+    starts = lengths.select("file", "segment", F.coalesce(start, F.lit(0)).cast("long").alias("start"))
+    return joined.join(starts, ["file", "segment"]).select("file", "segment", "start", "length", "data")
 
 
 def divergence(expected: DataFrame, actual: DataFrame) -> DataFrame:

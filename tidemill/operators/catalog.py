@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import numbered
+from .blocks import merged, order_violations
 from .members import ACTIVE, JOINING
 from .ring import cell
 
@@ -48,6 +49,23 @@ def replace_blocks(blocks: DataFrame, path: str) -> None:
     blocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(path)
 
 
+def merge_files(copies: DataFrame, staging: str, path: str) -> DataFrame:
+    """Merge all copies of blocks and rewrite their files at ``path``; the new blocks are returned.
+
+    The merged blocks are written to ``staging`` first. If a client's sequences don't rise
+    in a file, nothing at ``path`` changes and ValueError names one such block.
+    """
+    spark, new = copies.sparkSession, merged(copies)
+    new.write.parquet(staging)
+    held = spark.read.parquet(staging)
+    wrong = order_violations(held).first()
+    if wrong:
+        raise ValueError(f"block {wrong['block_id']} of {wrong['file']} is out of order")
+    replace_blocks(held, path)
+    # The schema is given, since names of files that look like numbers would be read as such.
+    return spark.read.schema(held.schema).parquet(path)
+
+
 def without_files(blocks: DataFrame, deleted: DataFrame) -> DataFrame:
     return blocks.join(deleted.select("file"), "file", "left_anti")
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import grep_pattern
 
+#: Parts that a file's matches are dealt over before the first are chosen.
+PARTS = 64
+
 
 def matcher(pattern: str, *, extended: bool = False, fixed: bool = False, ignore_case: bool = False, word: bool = False, whole_line: bool = False, invert: bool = False) -> Column:
     """Condition on ``line``. A literal pattern without further conditions stays a plain substring test."""
@@ -54,3 +57,20 @@ def numbered_output(lines: DataFrame) -> DataFrame:
 def counts_and_total(found: DataFrame) -> DataFrame:
     """Matches of each file, and of all under a null file."""
     return found.rollup("file").agg(F.count(F.lit(1)).alias("n"))
+
+
+def response(lines: DataFrame, pattern: str, most: int = 1000, order: tuple[str, ...] = ("line_no",), **options: bool) -> DataFrame:
+    """(file, count, line_no, line): the first ``most`` matching lines of each file, with the count of all.
+
+    A file without a match has one row, count zero and nulls. Every group of lines keeps only
+    its first ``most`` before the file's are put together, so a hot file is many tasks' work.
+    Sort by (file, line_no) to print.
+    """
+    found = lines.where(matcher(pattern, **options) & (F.col("line") != ""))
+    counts = lines.groupBy("file").agg(F.count_if(matcher(pattern, **options) & (F.col("line") != "")).alias("count"))
+    spread = found.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(PARTS)))
+    early = F.row_number().over(Window.partitionBy("file", "_part").orderBy(*order))
+    early = spread.withColumn("_early", early).where(F.col("_early") <= most)
+    rank = F.row_number().over(Window.partitionBy("file").orderBy(*order))
+    kept = early.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank", "_early", "_part")
+    return counts.join(kept.withColumnRenamed("file", "_of"), F.col("file").eqNullSafe(F.col("_of")), "left").drop("_of")

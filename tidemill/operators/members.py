@@ -60,9 +60,16 @@ def dropped(messages: DataFrame, rate: float, seed: int = 7) -> DataFrame:
 
 
 def hosts_of(members: DataFrame, machines: DataFrame, default: int = 1) -> DataFrame:
-    """(host, vm): the machine with the host's name, else of the name up to its first dot, else ``default``."""
-    named = machines.select(F.col("hostname"), F.col("vm"))
-    exact = members.join(named.withColumnRenamed("hostname", "host").withColumnRenamed("vm", "_exact"), "host", "left")
-    short = named.groupBy(F.split_part("hostname", F.lit("."), F.lit(1)).alias("_short")).agg(F.min("vm").alias("_by_short"))
-    both = exact.withColumn("_short", F.split_part("host", F.lit("."), F.lit(1))).join(short, "_short", "left")
-    return both.select("host", F.coalesce("_exact", "_by_short", F.lit(default)).alias("vm"))
+    """(host, vm): the machine with the host's name, else one whose name up to its first dot begins the host's, else ``default``.
+
+    Of several machines the lowest counts. Each host emits its beginnings and joins on them, so
+    no host meets every machine.
+    """
+    hosts = members.select("host").distinct()
+    exact = machines.groupBy(F.col("hostname").alias("host")).agg(F.min("vm").alias("_exact"))
+    short = machines.groupBy(F.split_part("hostname", F.lit("."), F.lit(1)).alias("_short")).agg(F.min("vm").alias("_vm"))
+    heads = hosts.where("host <> ''").select("host", F.explode(F.expr("transform(sequence(1, length(host)), n -> substring(host, 1, n))")).alias("_short"))
+    begun = heads.join(short, "_short").groupBy("host").agg(F.min("_vm").alias("_begun"))
+    found = hosts.join(exact, "host", "left").join(begun, "host", "left")
+    known = found.select("host", F.coalesce("_exact", "_begun").alias("_known"))
+    return members.join(known, "host", "left").select("host", F.coalesce("_known", F.lit(default)).alias("vm"))

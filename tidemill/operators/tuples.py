@@ -6,10 +6,13 @@ import subprocess
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import csv_field, first_fields, parse_kv, strip_ws
+from ..functions.text import csv_field, first_fields, numbered, parse_kv, strip_ws
+
+#: Numbers of lines that one task counts in order.
+CELL = 1 << 16
 
 
 def identity(df: DataFrame) -> DataFrame:
@@ -31,9 +34,13 @@ def grouped_by_field(df: DataFrame, index: int) -> DataFrame:
 
 
 def running_count(df: DataFrame, index: int, order: str = "line_num") -> DataFrame:
-    """A row per input tuple: its group and how many of the group stand up to it."""
-    w = Window.partitionBy("grp").orderBy(order)
-    return grouped_by_field(df, index).select(order, "grp", F.row_number().over(w).cast("long").alias("n"))
+    """A row per input tuple: its group and how many of the group stand up to it.
+
+    ``order`` is a number. A group is counted in cells of it, so that one with a third of all
+    rows is many tasks' work.
+    """
+    counted = numbered(grouped_by_field(df, index).select(order, "grp"), F.floor(F.col(order) / CELL), order, name="n", by=("grp",))
+    return counted.select(order, "grp", (F.col("n") + 1).alias("n"))
 
 
 def final_count(df: DataFrame, index: int) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import csv_field
+from ..functions.text import csv_field, parse_kv
 from ..operators import blocks, catalog, grep, members, rates, ring, tuples
+from ..sources import files
 from ..streaming import runs
 from . import views as v
 
@@ -324,6 +325,55 @@ def q48(spark, sf_dir):
     return catalog.sampled(peers, 3, "event_type").select("event_type", "host")
 
 
+@query("q49_grep_response", f"with m as (select *, row_number() over (partition by file order by doc_id, line_no) as rn, count(*) over (partition by file) as n from ({v.DOCUMENT_LINES}) where contains(line, '{WORD}')) select f.file, coalesce(m.n, 0) as count, doc_id, line_no, line from (select distinct file from ({v.DOCUMENT_LINES})) f left join m on f.file is not distinct from m.file and rn <= 20")
+def q49(spark, sf_dir):
+    return grep.response(v.document_lines(spark, sf_dir), WORD, 20, ("doc_id", "line_no")).select("file", "count", "doc_id", "line_no", "line")
+
+
+@query("q50_tuple_files", "select cast(event_id as varchar) as key, concat_ws(',', user_id, event_type, props) as value from events")
+def q50(spark, sf_dir):
+    path = runs.scratch(spark, "tuple-files")
+    value = F.concat_ws(",", F.col("user_id").cast("string"), "event_type", "props")
+    files.write_tuples(v.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), value.alias("value")), path)
+    key, value = parse_kv("value", "key")
+    return files.tuple_source(spark, path).select(key.alias("key"), value.alias("value"))
+
+
+@query("q51_log_files", "select date_trunc('milliseconds', ts) as ts, event_type as tag, props as message from events")
+def q51(spark, sf_dir):
+    path = runs.scratch(spark, "log-files")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
+    v.table(spark, sf_dir, "events").select(F.format_string("[%s] [%s] %s", stamp, "event_type", "props")).write.text(path)
+    return files.log_lines(files.lines_with_numbers(spark, path)).select(F.col("ts").cast("timestamp_ntz").alias("ts"), "tag", "message")
+
+
+@query("q52_rate_by_time", "select event_type, ts, (n - lag(n) over w) / date_diff('second', lag(ts) over w, ts) as rate from (select event_type, date_trunc('hour', ts) as ts, sum(count(*)) over (partition by event_type order by date_trunc('hour', ts))::bigint as n from events group by 1, 2) window w as (partition by event_type order by ts)")
+def q52(spark, sf_dir):
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    counted = rates.rates(v.table(spark, sf_dir, "events"), hour, "event_type").withColumnRenamed("window", "ts")
+    summed = counted.withColumn("count", F.sum("n").over(Window.partitionBy("event_type").orderBy("ts")))
+    return rates.rate_changes(summed, "event_type").select("event_type", "ts", "rate")
+
+
+@query("q53_hosts_by_prefix", "select host, coalesce(min(vm), 1) as vm from (select distinct 'u' || cast(user_id as varchar) || '.y' as host from events) left join (select 'u' || cast(n_nationkey as varchar) as short, n_nationkey + 100 as vm from nation) on starts_with(host, short) group by 1")
+def q53(spark, sf_dir):
+    name = lambda key, end: F.concat(F.lit("u"), F.col(key).cast("string"), F.lit(end))
+    hosts = v.table(spark, sf_dir, "events").select(name("user_id", ".y").alias("host")).distinct()
+    machines = v.table(spark, sf_dir, "nation").select(name("n_nationkey", ".x").alias("hostname"), (F.col("n_nationkey") + 100).alias("vm"))
+    return members.hosts_of(hosts, machines)
+
+
+@query("q54_pipeline_from_texts", _SQL["q05_filter_transform"])
+def q54(spark, sf_dir):
+    return runs.Pipeline.parse(f"filter:{LITERAL}", "transform", "identity", stages=3).apply(v.event_tuples(spark, sf_dir))
+
+
+@query("q55_merge_job", _SQL["q18_block_merge"])
+def q55(spark, sf_dir):
+    done = catalog.merge_files(v.block_copies(spark, sf_dir), runs.scratch(spark, "merge-staging"), runs.scratch(spark, "merged-files"))
+    return done.select("file", "block_id", "client", "seq", "ts", "pos")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import split_lines, strip_ws
+from ..functions.text import numbered, strip_ws
 
 
-def lines_with_numbers(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
-    """(file, line_no, line) of text files, numbered in each file from ``first``."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(split_lines("value")).alias("pos", "line"))
-    return whole.select("file", (F.col("pos") + first).cast("long").alias("line_no"), "line")
+def lines_with_numbers(spark: SparkSession, path: str | list[str], first: int = 0, separator: str | None = None) -> DataFrame:
+    """(file, line_no, line) of text files, numbered in each file from ``first``.
+
+    Lines end at any newline, or at ``separator`` alone. A file is read and numbered split by
+    split, plus the lines of its earlier splits, so it may be larger than a task; names should
+    differ, since ``file`` is the name without its folder. A final newline adds no line, an
+    empty file has none.
+    """
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    held = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    lined = numbered(held, F.col("split"), "at", name="line_no", by=("path",))
+    return lined.select("file", (F.col("line_no") + first).alias("line_no"), "line")
 
 
 def tuple_source(spark: SparkSession, path: str, run_id: str = "run") -> DataFrame:
