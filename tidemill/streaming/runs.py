@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,11 @@ from ..operators.tuples import apply_operator
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder name in the cluster's shared folder; a temporary one where none is named."""
+    """A new folder name in the cluster's shared folder; where none is named, a temporary one in local mode, else an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
