@@ -70,8 +70,9 @@ def ball_links(distinct: DataFrame, radius: int = 2, bits: int = BITS) -> DataFr
     """
     if radius != 2:
         raise ValueError("only a radius of 2 is supported")
-    # Rows grow by the number of variants: deal them out first, however few files they lie in.
-    dealt = distinct.repartition(max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "fp")
+    # Rows grow by the number of variants: deal them out first, however few files they lie in. By a
+    # hash of their own, since dealing by fp again after a grouping by fp would be optimised away.
+    dealt = distinct.repartition(max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), F.xxhash64("fp"))
     emitted = dealt.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))).alias("bit")).selectExpr(
         "if(bit < 0, fp, fp ^ shiftleft(1L, bit)) as variant",
         "if(bit < 0, 0L, shiftleft(1L, bit)) as flipped",
