@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,19 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return held.select(*[F.col(f"_{df.columns.index(old)}").alias(new) for new, old in columns.items()])
 
 
+@cache
+def own_folder() -> str:
+    """A temporary folder of this process, for local mode."""
+    return tempfile.mkdtemp(prefix="tidemill-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset, one of our own in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = own_folder()
     return found.rstrip("/")
 
 
