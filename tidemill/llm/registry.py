@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op6_ann
 from .flac import op8_flac
+from .hard_negatives import op12_hard_negatives
 from .mixing import op7_mixing
 from .packing import op4_packing
+from .pivot_search import op11_exact_search
 from .quality import op9_quality
 from .secrets import op10_secrets
 from .simhash import op5_simhash
@@ -31,6 +33,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_flac": op8_flac,
         "op9_quality": op9_quality,
         "op10_secrets": op10_secrets,
+        "op11_exact_search": op11_exact_search,
+        "op12_hard_negatives": op12_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -51,6 +55,22 @@ q as (select *, case when payload_bytes >= 1000 then max(page_id) over (partitio
 select page_id, payload_bytes, payload_digest, case when page_id = kept then 'response' else 'revisit' end as record_type, case when page_id <> kept then kept end as refers_to from q
 """
 
+#: Vectors as whole numbers; every query against every row.
+WHOLE_VECTORS = "select *, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+SEARCH_SQL = f"""
+with v as ({WHOLE_VECTORS}),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select * from (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s) where rank <= 5
+"""
+
+NEGATIVES_SQL = f"""
+with v as (select vec_id, e, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as l from ({WHOLE_VECTORS}) where label is not null),
+s as (select a.vec_id as anchor_id, a.l as own, c.vec_id, c.l, list_inner_product(a.e, c.e)::bigint as score from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where l = own qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select * from (select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score from p join s using (anchor_id) where l <> own and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score) where rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": REPEATS_SQL, "op2_warc": ARCHIVES_SQL}
+    return {"op1_substring_dedup": REPEATS_SQL, "op2_warc": ARCHIVES_SQL, "op11_exact_search": SEARCH_SQL, "op12_hard_negatives": NEGATIVES_SQL}
