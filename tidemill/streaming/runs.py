@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import cache, partial
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scratch import scratch
 from ..functions.text import legacy_args
 from ..operators.tuples import apply_operator
 
 
-@cache
-def own_folder() -> str:
-    """A temporary folder of this process, for local mode."""
-    return tempfile.mkdtemp(prefix="tidemill-")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder name in the cluster's shared folder; where none is named, a temporary one in local mode, else an error."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = own_folder()
-    return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1000) -> DataFrame:
     """A table's files as a stream; ``files_per_batch`` throttles it."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
