@@ -13,6 +13,7 @@ from .hard_negatives import op12_hard_negatives
 from .mixing import op7_mixing
 from .packing import op4_packing
 from .pivot_search import op11_exact_search
+from .prefix_trie import op13_prefix_trie
 from .quality import op9_quality
 from .secrets import op10_secrets
 from .simhash import op5_simhash
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secrets": op10_secrets,
         "op11_exact_search": op11_exact_search,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -71,6 +73,22 @@ p as (select anchor_id, vec_id as positive_id, score as positive_score from s wh
 select * from (select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score from p join s using (anchor_id) where l <> own and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score) where rank <= 10
 """
 
+#: Heads by a CRC-32 bit by bit; nodes by their turns' digests in a row; every node's figures go to all it begins with.
+TRIE_SQL = """
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) - 1 as p, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as m, length(coalesce(text, '')) as chars from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 100 as base, xor(4294967295, list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint), lambda a, x: list_reduce(range(8), lambda b, i: xor(b >> 1, 3988292384 * (b & 1)), xor(a, x)), 4294967295)) % 6 as h from (select distinct conv_id from t)),
+r as (select c.conv_id, p, m, chars from c join t on t.conv_id = c.base and p < h union all select c.conv_id, p + 1000000, m, chars from c join t on t.conv_id = c.conv_id and p >= h),
+q as (select conv_id, m, chars, row_number() over (partition by conv_id order by p) as depth, string_agg(m, '/') over (partition by conv_id order by p) as key from r),
+k as (select conv_id, 0 as depth, '' as key, 0 as chars from c union all select conv_id, depth, key, chars from q),
+len as (select conv_id, max(depth) as n from k group by 1),
+n as (select key, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars, coalesce(string_agg(case when len.n = depth then conv_id end, ',' order by conv_id), '') as ends, bool_and(len.n = depth) as leaf from k join len using (conv_id) group by key),
+up as (select k.key, sum(n.leaf::int) as n_leaves, sum((n.n_convs - 1) * n.chars) as saved from n join k on k.conv_id = n.conv_id and k.depth <= n.depth group by 1),
+pa as (select n.key, p.key as parent_key, p.conv_id as parent from n join k on k.conv_id = n.conv_id and k.depth = n.depth - 1 join n p on p.key = k.key),
+kids as (select parent_key as key, count(*) as n from pa group by 1)
+select n.conv_id, n.depth::bigint as depth, pa.parent as parent_conv_id, n.n_convs, coalesce(kids.n, 0) as n_children, up.n_leaves::bigint as n_leaves, up.saved::bigint as saved_tokens, sha256(n.ends) as ends_sha256
+from n join up using (key) left join pa using (key) left join kids using (key)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": REPEATS_SQL, "op2_warc": ARCHIVES_SQL, "op11_exact_search": SEARCH_SQL, "op12_hard_negatives": NEGATIVES_SQL}
+    return {"op1_substring_dedup": REPEATS_SQL, "op2_warc": ARCHIVES_SQL, "op11_exact_search": SEARCH_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_prefix_trie": TRIE_SQL}
