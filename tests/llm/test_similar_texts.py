@@ -1,3 +1,5 @@
+from math import comb
+
 import numpy as np
 import pytest
 
@@ -83,3 +85,30 @@ def test_rows_that_repeat_an_id(spark):
     rows = [(5, 1, long), (6, 1, long), (7, 2, long + " more"), (8, 2, "another text"), (9, 3, "another text"), (10, 2, "a third one")]
     found = {r["row_id"]: (r["component_id"], r["first"]) for r in simhash.similar_rows(spark.createDataFrame(rows, "row_id long, doc_id long, text string")).collect()}
     assert found == {5: (1, True), 6: (1, False), 7: (1, False), 8: (2, True), 9: (2, False), 10: (2, True)}
+
+
+def bits_differ(shared, a, b):
+    """Exact chance that a bit differs between sets of so many shared and own shingles; sums that tie give zero."""
+    walk = lambda n: np.array([comb(n, k) / 2**n for k in range(n + 1)])
+    held, out = walk(shared), 0.0
+    for k, chance in enumerate(held):
+        s = 2 * k - shared
+        x, y = (sum(p for i, p in enumerate(walk(n)) if s + 2 * i - n > 0) for n in (a, b))
+        out += chance * (x * (1 - y) + y * (1 - x))
+    return out
+
+
+@pytest.mark.parametrize("together", [60, 61, 62, 63, 80, 81, 99, 150, 301])
+def test_fingerprints_lose_no_pair_of_a_million(together):
+    shared = int(np.ceil(together * 0.8 / 1.8))
+    own = together - 2 * shared
+    worst, cut = max(bits_differ(shared, a, own - a) for a in range(own // 2 + 1)), simhash.apart(0.8)
+    assert sum(comb(128, k) * worst**k * (1 - worst) ** (128 - k) for k in range(cut + 1, 129)) < 1e-6
+
+
+def test_short_texts_at_exactly_the_least_similarity(spark):
+    """Nine words and the first eight of them: five shingles and four, of which many tie."""
+    draw, rows = np.random.default_rng(6), []
+    for words in np.array(WORDS)[draw.integers(len(WORDS), size=(20_000, 9))]:
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:8]))]
+    assert linked(spark, rows) == {i: i - i % 2 for i, _ in rows}
