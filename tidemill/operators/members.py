@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACTIVE, SUSPECTED, FAILED, LEFT, JOINING = "ACTIVE", "SUSPECTED", "FAILED", "LEFT", "JOINING"
+#: What a forgotten host's last change is called, and kinds of signs in the order of signs at one time.
+REMOVED, JOIN, ALIVE, LEAVE = "REMOVED", 0, 1, 2
 
 
 def merge_versions(updates: DataFrame, *fields: str, arrival: str = "arrival") -> DataFrame:
@@ -54,9 +56,72 @@ def false_positives(states: DataFrame, order: str = "ts") -> DataFrame:
     return wrong.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dropped(messages: DataFrame, rate: float, seed: int = 7) -> DataFrame:
-    """Messages that survive a lossy link."""
-    return messages.where(F.rand(seed) >= rate)
+class MemberClock:
+    """The state of one host: what its signs and the passing of time change.
+
+    A JOIN makes it JOINING, a LEAVE makes it LEFT, any other sign ACTIVE; such signs of a host
+    that is LEFT are ignored. An ACTIVE host without a sign for longer than ``silence`` is SUSPECTED,
+    ``expiry`` later FAILED, ``cleanup`` later REMOVED and forgotten, as a LEFT host is
+    ``cleanup`` after it left last. A JOINING host has no limit. A sign at the very limit is in time.
+    """
+
+    def __init__(self, silence: int, expiry: int, cleanup: int, status: str | None = None, since: int = 0):
+        self.steps = {ACTIVE: (silence, SUSPECTED), SUSPECTED: (expiry, FAILED), FAILED: (cleanup, None), LEFT: (cleanup, None)}
+        self.status, self.since = status, since
+
+    def deadline(self) -> int | None:
+        """When the state changes by itself."""
+        return self.since + self.steps[self.status][0] if self.status in self.steps else None
+
+    def until(self, time: int) -> list[tuple[int, str]]:
+        """Changes by the clock before ``time``."""
+        told = []
+        while (at := self.deadline()) is not None and at < time:
+            self.since, self.status = at, self.steps[self.status][1]
+            told.append((at, self.status or REMOVED))
+        return told
+
+    def sign(self, time: int, kind: int) -> list[tuple[int, str]]:
+        """Changes up to and with a sign."""
+        told = self.until(time)
+        if kind == ALIVE and self.status == LEFT:
+            return told
+        status = {JOIN: JOINING, LEAVE: LEFT, ALIVE: ACTIVE}[kind]
+        if status != self.status:
+            told.append((time, status))
+        self.status, self.since = status, time
+        return told
+
+
+def status_changes(signs: DataFrame, silence: int, expiry: int, cleanup: int) -> DataFrame:
+    """(host, ms, status): every change of a host's state in a table of signs (host, ms, kind).
+
+    ``kind`` is JOIN, LEAVE or anything else for a sign of life; times are in milliseconds, limits
+    in seconds, and the rules those of ``MemberClock``. What follows a host's last sign counts up
+    to the latest sign of any host. All is told by a sign and its neighbours: a sign of life is
+    ignored if the last JOIN or LEAVE before it is a LEAVE not yet forgotten, and the state before
+    a sign is what the last one that counts has become by then. So one shuffle by host serves.
+    """
+    s, e, c = silence * 1000, expiry * 1000, cleanup * 1000
+    code = F.when(F.col("kind") == "JOIN", JOIN).when(F.col("kind") == "LEAVE", LEAVE).otherwise(ALIVE)
+    held = signs.select("host", "ms", code.alias("kind"))
+    w = Window.partitionBy("host").orderBy("ms", "kind")
+    notice = F.last(F.when(F.col("kind") != ALIVE, F.struct("kind", "ms")), ignorenulls=True).over(w)
+    held = held.withColumn("notice", notice)
+    ignored = (F.col("kind") == ALIVE) & (F.col("notice.kind") == LEAVE) & (F.col("ms") <= F.col("notice.ms") + c)
+    held = held.where(~F.coalesce(ignored, F.lit(False))).drop("notice")
+    held = held.select("*", F.lead("ms").over(w).alias("next"), F.lag("kind").over(w).alias("before"), (F.col("ms") - F.lag("ms").over(w)).alias("since"))
+    was = F.when(F.col("before") == JOIN, JOINING).when((F.col("before") == LEAVE) & (F.col("since") <= c), LEFT)
+    for limit, status in ((s, ACTIVE), (s + e, SUSPECTED), (s + e + c, FAILED)):
+        was = was.when((F.col("before") == ALIVE) & (F.col("since") <= limit), status)
+    now = F.when(F.col("kind") == JOIN, JOINING).when(F.col("kind") == LEAVE, LEFT).otherwise(ACTIVE)
+    later = lambda ms, status: F.struct((F.col("ms") + ms).alias("at"), F.lit(status).alias("status"))
+    by_clock = F.when(F.col("kind") == ALIVE, F.array(later(s, SUSPECTED), later(s + e, FAILED), later(s + e + c, REMOVED))).when(F.col("kind") == LEAVE, F.array(later(c, REMOVED))).otherwise(F.array().cast("array<struct<at:bigint,status:string>>"))
+    told = F.filter(by_clock, lambda t: t["at"] < F.coalesce("next", F.lit(1 << 62)))
+    own = F.when(was.eqNullSafe(now), F.array().cast("array<struct<at:bigint,status:string>>")).otherwise(F.array(F.struct(F.col("ms").alias("at"), now.alias("status"))))
+    changes = held.select("host", F.explode(F.concat(own, told)).alias("t")).select("host", F.col("t.at").alias("ms"), F.col("t.status").alias("status"))
+    # One row, whatever the table.
+    return changes.join(F.broadcast(signs.agg(F.max("ms").alias("_now"))), F.col("ms") <= F.col("_now")).drop("_now")
 
 
 def hosts_of(members: DataFrame, machines: DataFrame, default: int = 1) -> DataFrame:

@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import scratch
 from ..functions.text import csv_field, parse_kv
 from ..operators import blocks, catalog, grep, members, rates, ring, tuples
 from ..sources import files
 from ..streaming import runs
+from . import stream_queries  # noqa: F401  registers its queries
 from . import views as v
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+from .registered import QUERIES, SQL, Query, query
 
 #: Patterns, thresholds and sizes of the queries.
 WORD, LITERAL, GAP, LOW, HIGH, PARTITIONS = "the", "error", 6 * 3600, 2, 5, 16
 FIELD = "trim(coalesce(string_split(value, ',')[{}], ''))"
 
 
-def query(name: str, sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name], _SQL[name] = f, sql
-        return f
-
-    return add
-
-
 PLAIN = "select event_id, concat_ws(',', event_id, user_id, event_type, props) as value from events"
 
 
@@ -218,25 +207,19 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.table_stream(spark, sf_dir, "events").select("event_id", v.csv_value().alias("value"))
 
 
-@query("q32_stream_filter_count", _SQL["q04_filter_count"])
+@query("q32_stream_filter_count", SQL["q04_filter_count"])
 def q32(spark, sf_dir):
     held = tuples.filter_literal(event_stream(spark, sf_dir), "e")
     return runs.run_to_end(tuples.final_count(held, 2), "complete")
 
 
-@query("q33_stream_exactly_once", _SQL["q30_dedup_tuples"])
+@query("q33_stream_exactly_once", SQL["q30_dedup_tuples"])
 def q33(spark, sf_dir):
     held = event_stream(spark, sf_dir).withColumnRenamed("event_id", "tuple_id")
     both = held.unionAll(held.where("tuple_id % 11 = 0"))
     return runs.run_to_end(runs.exactly_once(both)).select("tuple_id", "value")
 
 
-@query("q34_stream_running_count", f"select {FIELD.format(3)} as grp, count(*) as rows, count(*) as most from ({PLAIN}) group by 1")
-def q34(spark, sf_dir):
-    counted = runs.run_to_end(runs.running_counts(tuples.grouped_by_field(event_stream(spark, sf_dir), 2)))
-    return counted.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"))
-
-
 @query("q35_round_robin_placement", "select event_type as stage, event_id, (row_number() over (partition by event_type order by ts, event_id) - 1) % 5 as worker from events")
 def q35(spark, sf_dir):
     tasks = v.table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), "event_id", "ts")
@@ -332,7 +315,7 @@ def q49(spark, sf_dir):
 
 @query("q50_tuple_files", "select cast(event_id as varchar) as key, concat_ws(',', user_id, event_type, props) as value from events")
 def q50(spark, sf_dir):
-    path = runs.scratch(spark, "tuple-files")
+    path = scratch(spark, "tuple-files")
     value = F.concat_ws(",", F.col("user_id").cast("string"), "event_type", "props")
     files.write_tuples(v.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), value.alias("value")), path)
     key, value = parse_kv("value", "key")
@@ -341,7 +324,7 @@ def q50(spark, sf_dir):
 
 @query("q51_log_files", "select date_trunc('milliseconds', ts) as ts, event_type as tag, props as message from events")
 def q51(spark, sf_dir):
-    path = runs.scratch(spark, "log-files")
+    path = scratch(spark, "log-files")
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
     v.table(spark, sf_dir, "events").select(F.format_string("[%s] [%s] %s", stamp, "event_type", "props")).write.text(path)
     return files.log_lines(files.lines_with_numbers(spark, path)).select(F.col("ts").cast("timestamp_ntz").alias("ts"), "tag", "message")
@@ -363,20 +346,20 @@ def q53(spark, sf_dir):
     return members.hosts_of(hosts, machines)
 
 
-@query("q54_pipeline_from_texts", _SQL["q05_filter_transform"])
+@query("q54_pipeline_from_texts", SQL["q05_filter_transform"])
 def q54(spark, sf_dir):
     return runs.Pipeline.parse(f"filter:{LITERAL}", "transform", "identity", stages=3).apply(v.event_tuples(spark, sf_dir))
 
 
-@query("q55_merge_job", _SQL["q18_block_merge"])
+@query("q55_merge_job", SQL["q18_block_merge"])
 def q55(spark, sf_dir):
-    done = catalog.merge_files(v.block_copies(spark, sf_dir), runs.scratch(spark, "merge-staging"), runs.scratch(spark, "merged-files"))
+    done = catalog.merge_files(v.block_copies(spark, sf_dir), scratch(spark, "merge-staging"), scratch(spark, "merged-files"))
     return done.select("file", "block_id", "client", "seq", "ts", "pos")
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(sorted(QUERIES.items()))
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
