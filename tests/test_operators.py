@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import blocks, catalog, grep, members, rates, ring, tuples
+from tidemill.operators import blocks, catalog, grep, members, programs, rates, ring, tuples
 from tidemill.sources import files
 
 REPLICAS = 3
@@ -39,13 +39,13 @@ def test_dispatch_fails_while_planning(spark):
 
 
 def test_external_program(spark):
-    out = tuples.external(kv(spark, "b a", "c"), ["tr", "a-c", "A-C"])
+    out = programs.external(kv(spark, "b a", "c"), ["tr", "a-c", "A-C"])
     assert rows(out) == [("k0", "B A"), ("k1", "C")]
-    own = tuples.external(kv(spark, "b", "c"), ["cut", "-f2"], per_tuple=True)
+    own = programs.external(kv(spark, "b", "c"), ["cut", "-f2"], per_tuple=True)
     assert rows(own) == [("k0", "b"), ("k1", "c")]
-    assert rows(tuples.external(kv(spark, "b", "c"), ["cut", "-f2"])) == [("", "b"), ("", "c")]
-    with pytest.raises(Exception, match="non-zero exit"):
-        tuples.external(kv(spark, "b"), ["false"]).collect()
+    assert rows(programs.external(kv(spark, "b", "c"), ["cut", "-f2"])) == [("", "b"), ("", "c")]
+    with pytest.raises(Exception, match="ended with 1"):
+        programs.external(kv(spark, "b"), ["false"]).collect()
 
 
 def lines(spark, *texts):

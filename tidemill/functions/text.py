@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: POSIX bracket classes and their Java names; fixed by POSIX.
-POSIX_CLASSES = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "space": "Space", "punct": "Punct", "blank": "Blank", "cntrl": "Cntrl", "print": "Print", "graph": "Graph", "xdigit": "XDigit"}
+#: POSIX bracket classes and what stands for them in a Java class with Unicode properties; fixed by POSIX.
+POSIX_CLASSES = {"alpha": r"\p{Alpha}", "digit": "0-9", "alnum": r"\p{Alpha}\p{Nd}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "space": r"\s", "punct": r"\p{P}\$\+<=>\^`\|~", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "print": r"\p{Print}", "graph": r"\p{Graph}", "xdigit": "0-9A-Fa-f"}
+#: Parts of words, for ``-w`` and word edges.
+WORD = r"[\p{L}\p{M}\p{N}_]"
 
 
 def strip_ws(c: Column | str) -> Column:
@@ -70,7 +73,7 @@ def _bracket(pattern: str, at: int) -> tuple[str, int]:
     while end < len(pattern) and (pattern[end] != "]" or first):
         named = next((n for n in POSIX_CLASSES if pattern.startswith(f"[:{n}:]", end)), None)
         if named:
-            out += rf"\p{{{POSIX_CLASSES[named]}}}"
+            out += POSIX_CLASSES[named]
             end += len(named) + 4
         else:
             out += "\\" + pattern[end] if pattern[end] in "[]\\&^" else pattern[end]
@@ -81,33 +84,95 @@ def _bracket(pattern: str, at: int) -> tuple[str, int]:
     return out + "]", end + 1
 
 
+_INTERVAL = re.compile(r"(\d*)(?:(,)(\d*))?")
+
+
+def _interval(body: str, pattern: str) -> str | None:
+    """A repetition such as ``2,5`` in Java syntax; None if it is none."""
+    found = _INTERVAL.fullmatch(body)
+    if not found or not (found[1] or found[2]):
+        return None
+    low, high = int(found[1] or 0), int(found[3]) if found[3] else None if found[2] else int(found[1])
+    if high is not None and high < low:
+        raise ValueError(f"repetition {{{body}}} in pattern {pattern!r} ends below its start")
+    return f"{{{low},{'' if high is None else high}}}" if high != low else f"{{{low}}}"
+
+
 def grep_pattern(pattern: str, extended: bool = False) -> str:
     """A POSIX basic or extended pattern in Java syntax.
 
     In a basic pattern ``+ ? | { } ( )`` stand for themselves unless a backslash precedes them;
-    a star that begins a pattern or group, and an anchor elsewhere than at an end, do too.
+    a star that begins a pattern or group, and an anchor elsewhere than at an end, do too. In an
+    extended one a brace that opens no repetition stands for itself, ``{,n}`` counts from zero
+    and repetitions may follow one another. What grep rejects (open groups and brackets, a
+    trailing backslash, repetitions of nothing) is a ValueError.
     """
-    out, at, opened = "", 0, True
+    out: list[str] = [""]  # finished text of each open group
+    atom, at = "", 0  # what a repetition would repeat
+
+    def fresh() -> bool:
+        return not atom and (not out[-1] or out[-1].endswith("|"))
+
     while at < len(pattern):
-        c = pattern[at]
+        c, follow = pattern[at], pattern[at + 1 : at + 2]
+        if c == "\\" and not follow:
+            raise ValueError("trailing backslash in pattern")
+        sign = c if extended else follow if c == "\\" and follow in "+?|{}()" else c if c == "*" else ""
+        taken = 1 if extended or c == "*" else 2
         if c == "[":
-            part, at = _bracket(pattern, at)
-            out += part
-            opened = False
+            out[-1] += atom
+            atom, at = _bracket(pattern, at)
+            continue
+        if sign in ("*", "+", "?") and sign:
+            if atom:
+                atom, at = f"(?:{atom}{sign})", at + taken
+                continue
+            if extended and fresh():
+                raise ValueError(f"nothing to repeat before {sign} in pattern {pattern!r}")
+        elif sign == "{":
+            end = pattern.find("}" if extended else "\\}", at)
+            repeat = _interval(pattern[at + taken : end], pattern) if end > 0 else None
+            if repeat and atom:
+                atom, at = f"(?:{atom}{repeat})", end + taken
+                continue
+            if not extended:
+                raise ValueError(f"\\{{ without a repetition in pattern {pattern!r}")
+        elif sign == "(":
+            out[-1] += atom
+            atom, at = "", at + taken
+            out.append("")
             continue
+        elif sign == ")":
+            if len(out) == 1:
+                raise ValueError(f"unmatched ) in pattern {pattern!r}")
+            atom, at = f"({out.pop()}{atom})", at + taken
+            continue
+        elif sign == "|":
+            out[-1] += atom + "|"
+            atom, at = "", at + taken
+            continue
+        elif c == "^" and (extended or fresh()):
+            out[-1] += atom + "^"
+            atom, at = "", at + 1
+            continue
+        elif c == "$" and (extended or not follow or pattern[at + 1 : at + 3] in (r"\)", r"\|")):
+            out[-1] += atom + "$"
+            atom, at = "", at + 1
+            continue
+        out[-1] += atom
         if c == "\\":
-            if at + 1 == len(pattern):
-                raise ValueError("trailing backslash in pattern")
-            follow = pattern[at + 1]
-            special = follow in "+?|{}()"
-            out += follow if special and not extended else {"<": r"\b(?=\w)", ">": r"\b(?<=\w)"}.get(follow, "\\" + follow)
-            opened = special and not extended and follow in "(|"
+            edges = {"<": f"(?<!{WORD})(?={WORD})", ">": f"(?<={WORD})(?!{WORD})", "b": f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))", "w": WORD, "W": WORD.replace("[", "[^", 1), "s": r"\s", "S": r"\S"}
+            atom = edges.get(follow) or (f"\\{follow}" if not follow.isalpha() else follow)
             at += 2
-            continue
-        if not extended and (c in "+?|{}()" or c == "*" and opened or c == "^" and not opened or c == "$" and at + 1 < len(pattern) and pattern[at + 1 : at + 3] not in (r"\)", r"\|")):
-            out += "\\" + c
         else:
-            out += c
-        opened = c == "^" and opened or extended and c in "(|"
-        at += 1
-    return out
+            atom = c if c == "." or c.isalnum() or c.isspace() or ord(c) > 127 or c in "_-,:;=!@#%&'\"<>/~`" else f"\\{c}"
+            at += 1
+    if len(out) > 1:
+        raise ValueError(f"unmatched ( in pattern {pattern!r}")
+    return out[0] + atom
+
+
+def many_ways(pattern: str, extended: bool = False) -> bool:
+    """Whether the first match found may be shorter than the longest at its place: with groups or alternatives."""
+    marks = "(|" if extended else (r"\(", r"\|")
+    return any(m in pattern for m in marks)

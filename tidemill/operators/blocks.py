@@ -93,3 +93,63 @@ def append_blocks(blocks: DataFrame, path: str) -> None:
     """Append to an existing block file; fails if it doesn't exist."""
     blocks.sparkSession.read.parquet(path).schema  # noqa: B018  raises for a missing path
     blocks.write.mode("append").parquet(path)
+
+
+#: Blocks of a run whose lengths are added up in one task, and bytes of the cells by which ranges meet blocks.
+RUN, CELL = 1 << 12, 1 << 20
+
+
+def block_index(merged_blocks: DataFrame) -> DataFrame:
+    """(file, pos, start, stop, data): merged blocks with the bytes of the file that each holds, as BINARY.
+
+    Lengths add up by runs of blocks and then over the runs, so that no file's blocks are all
+    put in order in one task. A null block is empty.
+    """
+    held = merged_blocks.select("file", "pos", F.coalesce(F.col("data").cast("binary"), F.lit(b"")).alias("data")).withColumn("run", F.floor(F.col("pos") / RUN))
+    length = F.octet_length("data").cast("long")
+    runs = held.groupBy("file", "run").agg(F.sum(length).alias("bytes"))
+    before = runs.select("file", "run", (F.sum("bytes").over(Window.partitionBy("file").orderBy("run")) - F.col("bytes")).alias("before"))
+    stop = F.sum(length).over(Window.partitionBy("file", "run").orderBy("pos"))
+    placed = held.withColumn("within", stop).join(before, ["file", "run"])
+    return placed.select("file", "pos", (F.col("before") + F.col("within") - length).alias("start"), (F.col("before") + F.col("within")).alias("stop"), "data")
+
+
+def byte_ranges(index: DataFrame, wanted: DataFrame, cell: int = CELL) -> DataFrame:
+    """(file, offset, length, bytes): what ``wanted`` (file, offset, length) asks of block files, one row each.
+
+    A range that runs past the end of its file is cut there, one behind it is empty, and of a
+    file without blocks it is null; null or negative offsets and lengths fail the job. Blocks and
+    ranges are listed under the cells of bytes that they touch and meet there, so a range reads
+    only blocks that overlap it; a pair in several cells counts in its first. Rows that ask for the
+    same are answered together and come once each.
+    """
+    right = F.col("offset").isNotNull() & F.col("length").isNotNull() & (F.col("offset") >= 0) & (F.col("length") >= 0)
+    asked = wanted.select("file", F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"))
+    asked = asked.withColumn("offset", F.when(right, F.col("offset")).otherwise(F.raise_error(F.lit("offsets and lengths of ranges are numbers from 0"))))
+    known = asked.distinct()
+    cells = lambda start, stop: F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor((F.col(stop) - 1) / cell)))
+    ranges = known.where("length > 0").select("file", "offset", "length", (F.col("offset") + F.col("length")).alias("last")).withColumn("cell", cells("offset", "last"))
+    held = index.where("stop > start").withColumn("cell", cells("start", "stop"))
+    met = ranges.join(held, ["file", "cell"]).where((F.col("start") < F.col("last")) & (F.col("offset") < F.col("stop")) & (F.col("cell") == F.floor(F.greatest("start", "offset") / cell)))
+    skipped = F.greatest(F.col("offset") - F.col("start"), F.lit(0))
+    piece = F.substring("data", (skipped + 1).cast("int"), (F.least("stop", "last") - F.greatest("start", "offset")).cast("int"))
+    parts = met.groupBy("file", "offset", "length").agg(F.array_sort(F.collect_list(F.struct("start", piece.alias("piece")))).alias("parts"))
+    joined = F.aggregate(F.transform("parts", lambda p: p["piece"]), F.lit(b""), lambda a, p: F.concat(a, p))
+    there = index.select("file").distinct().withColumn("there", F.lit(True))
+    found = asked.join(parts.select("file", "offset", "length", joined.alias("bytes")), ["file", "offset", "length"], "left").join(there, "file", "left")
+    return found.select("file", "offset", "length", F.when(F.col("there"), F.coalesce("bytes", F.lit(b""))).alias("bytes"))
+
+
+def sequence_ranges(blocks: DataFrame) -> DataFrame:
+    """(client, first, last, n): runs of consecutive sequences of each client; expanding them gives its sequences.
+
+    Runs are found in cells of sequences and those that touch are joined over cells, so a client
+    of any size is the work of many tasks. Repeated sequences count once.
+    """
+    held = blocks.select("client", F.col("seq").cast("long").alias("seq")).where("seq is not null").distinct().withColumn("cell", F.floor(F.col("seq") / CELL))
+    island = F.col("seq") - F.row_number().over(Window.partitionBy("client", "cell").orderBy("seq"))
+    runs = held.withColumn("island", island).groupBy("client", "cell", "island").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    order = Window.partitionBy("client").orderBy("first")
+    begins = F.coalesce(F.col("first") > F.lag("last").over(order) + 1, F.lit(True))
+    joined = runs.withColumn("run", F.sum(begins.cast("int")).over(order)).groupBy("client", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return joined.select("client", "first", "last", (F.col("last") - F.col("first") + 1).alias("n"))

@@ -50,10 +50,12 @@ def replace_blocks(blocks: DataFrame, path: str) -> None:
 
 
 def merge_files(copies: DataFrame, staging: str, path: str) -> DataFrame:
-    """Merge all copies of blocks and rewrite their files at ``path``; the new blocks are returned.
+    """Merge all copies of blocks and rewrite their files at ``path``; the new blocks, and no others, are returned.
 
     The merged blocks are written to ``staging`` first. If a client's sequences don't rise
-    in a file, nothing at ``path`` changes and ValueError names one such block.
+    in a file, nothing at ``path`` changes and ValueError names one such block. Each file's
+    folder is replaced on its own: a reader may see some files new and others old meanwhile, and a
+    job that ends midway is run again.
     """
     spark, new = copies.sparkSession, merged(copies)
     new.write.parquet(staging)
@@ -63,7 +65,7 @@ def merge_files(copies: DataFrame, staging: str, path: str) -> DataFrame:
         raise ValueError(f"block {wrong['block_id']} of {wrong['file']} is out of order")
     replace_blocks(held, path)
     # The schema is given, since names of files that look like numbers would be read as such.
-    return spark.read.schema(held.schema).parquet(path)
+    return spark.read.schema(held.schema).parquet(path).join(held.select("file").distinct(), "file", "left_semi")
 
 
 def without_files(blocks: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -104,6 +106,12 @@ def own_machine(hosts: DataFrame, machines: DataFrame) -> DataFrame:
     return hosts.join(by_name, "host", "left").join(by_ip, "ip", "left").select("host", "ip", F.coalesce("_by_name", "_by_ip").alias("vm"))
 
 
+def with_rates(tasks: DataFrame, rates: DataFrame) -> DataFrame:
+    """``tasks`` (task, ...) with the latest rate of each, zero for a task that has reported none."""
+    latest = rates.groupBy("task").agg(F.max_by("rate", "ts").alias("rate"))
+    return tasks.join(latest, "task", "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+
+
 def sampled(members: DataFrame, k: int, by: str, seed: int = 7) -> DataFrame:
     """``k`` members for each ``by``, drawn by a seeded hash, so every run draws alike."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col("host").cast("string"))), "host"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import subprocess
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import csv_field, first_fields, numbered, parse_kv, strip_ws
+from ..functions.text import csv_field, first_fields, numbered, strip_ws
 
 #: Numbers of lines that one task counts in order.
 CELL = 1 << 16
@@ -61,32 +59,6 @@ def partition_of(key: Column | str, n: int) -> Column:
     return F.pmod(F.conv(F.substring(F.sha1(key), 1, 8), 16, 10).cast("long"), F.lit(n))
 
 
-def external(df: DataFrame, command: list[str], timeout: float | None = None, per_tuple: bool = False) -> DataFrame:
-    """Tuples through a program: ``key TAB value`` lines in, any number of lines out.
-
-    One process serves a batch of a partition; a line without a tab then has an empty key.
-    With ``per_tuple`` each tuple has a process of its own and such a line keeps the tuple's
-    key. A failing program, or one over ``timeout`` seconds, fails the task.
-    """
-
-    def lines(text: str) -> list[str]:
-        done = subprocess.run(command, input=text, capture_output=True, text=True, timeout=timeout, check=True)
-        return [x for x in done.stdout.splitlines() if x]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = list(zip(batch.column("key").to_pylist(), batch.column("value").to_pylist()))
-            if per_tuple:
-                out = [(k, x) for k, v in held for x in lines(f"{k}\t{v}\n")]
-            else:
-                out = [("", x) for x in lines("".join(f"{k}\t{v}\n" for k, v in held))]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(2)], ["own", "line"])
-
-    found = df.select("key", "value").mapInArrow(run, "own string, line string")
-    key, value = parse_kv("line", "own")
-    return found.select(key.alias("key"), value.alias("value"))
-
-
 #: Operators by name; arguments arrive as a list of strings.
 OPERATORS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
     "filter": lambda df, args: filter_literal(df, args[0]),

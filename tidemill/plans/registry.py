@@ -10,7 +10,7 @@ from ..functions.text import csv_field, parse_kv
 from ..operators import blocks, catalog, grep, members, rates, ring, tuples
 from ..sources import files
 from ..streaming import runs
-from . import stream_queries  # noqa: F401  registers its queries
+from . import file_queries, stream_queries  # noqa: F401  they register their queries
 from . import views as v
 from .registered import QUERIES, SQL, Query, query
 
@@ -83,7 +83,7 @@ def q12(spark, sf_dir):
     return grep.grep(v.document_lines(spark, sf_dir), WORD, fixed=True, invert=True).select("doc_id", "line_no", "line")
 
 
-@query("q13_grep_word_first", f"select file, doc_id, line_no, line from (select *, row_number() over (partition by file order by doc_id, line_no) as rn from ({v.DOCUMENT_LINES}) where regexp_matches(line, '\\b{WORD}\\b') and line <> '') where rn <= 5")
+@query("q13_grep_word_first", f"select file, doc_id, line_no, line from (select *, row_number() over (partition by file order by doc_id, line_no) as rn from ({v.DOCUMENT_LINES}) where regexp_matches(line, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){WORD}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') and line <> '') where rn <= 5")
 def q13(spark, sf_dir):
     return grep.grep(v.document_lines(spark, sf_dir), WORD, word=True, first=5, order=("doc_id", "line_no")).select("file", "doc_id", "line_no", "line")
 
@@ -106,7 +106,7 @@ def q16(spark, sf_dir):
 @query("q17_rebalance_after_node_loss", f"select coalesce(a.file, b.file) as file, coalesce(a.node, b.node) as node, case when a.file is null then 'fetch' else 'delete' end as change from ({v.placement_sql()}) a full join ({v.placement_sql('s_suppkey <> 7')}) b on a.file = b.file and a.node = b.node where a.file is null or b.file is null")
 def q17(spark, sf_dir):
     files, nodes = v.ring_files(spark, sf_dir), v.ring_nodes(spark, sf_dir)
-    return ring.rebalance(ring.placement(files, nodes), ring.placement(files, nodes.where("s_suppkey <> 7")))
+    return ring.moves(files, nodes, nodes.where("s_suppkey <> 7"))
 
 
 @query("q18_block_merge", f"select file, block_id, client, seq, ts, pos from ({v.MERGED})")
