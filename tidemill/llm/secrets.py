@@ -48,6 +48,17 @@ def weak_parts(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def link_texts(text: str, weak: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """What of each endpoint is only its own address: all but user-info, where a secret may stand."""
+    out = []
+    for _, a, b in (w for w in weak if w[0] == "endpoint"):
+        scheme = text.index("://", a) + 3
+        host_end = text.find("/", scheme, b)
+        sign = text.rfind("@", scheme, b if host_end < 0 else host_end)
+        out += [("link", a, scheme), ("link", scheme if sign < 0 else sign, b)]
+    return out
+
+
 def near(spans: list[tuple[int, int]], start: int, stop: int, scope: int) -> bool:
     """Whether one of the spans, sorted and not overlapping, lies within ``scope`` of [start, stop)."""
     at = bisect_left(spans, start - scope, key=lambda s: s[1])
@@ -60,13 +71,13 @@ def linked_spans(text: str | None, scope: int = SCOPE) -> list[tuple[str, int, i
     An interval join over the sorted spans of one text: an identifier needs a secret nearby, a
     secret an identifier, an endpoint both. Base spans complement too: an access key is an
     identifier, assigned and hex values are secrets. A weak part that overlaps a base span of
-    the same role is that span, and an identifier's own value is no secret.
+    the same role is that span; an identifier's own value and the path of a link are no secrets.
     """
     text = text or ""
     base, weak = base_spans(text), weak_parts(text)
     if weak:
         role = lambda spans, *of: merged(sorted((a, b) for k, a, b in spans if k in of))
-        taken = {"identifier": role(base, "access"), "secret": role(base + weak, "assign", "hex", "identifier"), "endpoint": []}
+        taken = {"identifier": role(base, "access"), "secret": role(base + weak + link_texts(text, weak), "assign", "hex", "identifier", "link"), "endpoint": []}
         weak = [(kind, a, b) for kind, a, b in weak if not near(taken[kind], a + 1, b - 1, 0)]
         identifiers, secrets = role(base + weak, "access", "identifier"), role(base + weak, "assign", "hex", "secret")
         for kind, a, b in weak:
