@@ -21,12 +21,19 @@ def stored_blocks(metadata: DataFrame, data: DataFrame) -> DataFrame:
     return metadata.join(data.select("block_id", "data"), "block_id")
 
 
-def files_on(placed: DataFrame, node: str) -> DataFrame:
-    return placed.where(F.col("node") == node).select("file", file_id("file").alias("file_id")).distinct()
+def _are(column: str, wanted: str | DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows of which ``column`` is a name, or one of those in a frame of that column."""
+    return placed.where(F.col(column) == wanted) if isinstance(wanted, str) else placed.join(wanted.select(column).distinct(), column, "left_semi")
 
 
-def replicas_of(placed: DataFrame, file: str) -> DataFrame:
-    return placed.where(F.col("file") == file).select("file", file_id("file").alias("file_id"), "node", F.sha1("node").alias("node_pos"), "replica")
+def files_on(placed: DataFrame, node: str | DataFrame) -> DataFrame:
+    """Files on a node, or on the nodes of a frame."""
+    return _are("node", node, placed).select("file", file_id("file").alias("file_id")).distinct()
+
+
+def replicas_of(placed: DataFrame, file: str | DataFrame) -> DataFrame:
+    """Replicas of a file, or of the files of a frame."""
+    return _are("file", file, placed).select("file", file_id("file").alias("file_id"), "node", F.sha1("node").alias("node_pos"), "replica")
 
 
 def members_by_position(members: DataFrame) -> DataFrame:
