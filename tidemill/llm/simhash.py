@@ -24,7 +24,7 @@ SAMPLED, COMMON, MOST_COMMON = 20_000, 5, 200_000
 KNOWN_WORDS = 100_000
 #: Texts of a shingle's largest label that others meet in a guided round, and the number of such rounds.
 GUIDES, GUIDED_ROUNDS = 4, 2
-#: Shingles of two texts together from which their fingerprints tell whether they may be similar.
+#: Shingles of two texts together from which one number says how far their fingerprints may be apart.
 LEAST_PRINTED = 60
 
 
@@ -265,18 +265,39 @@ def crossing_prefixes(distinct: DataFrame, labels: DataFrame, texts: int, shingl
     return materialise(postings.join(materialise(crossing, "crossing-shingles"), "token"), "crossing-prefixes")
 
 
-def apart(least: float) -> int:
-    """Bits of 128 in which fingerprints of texts of similarity ``least`` differ, and six deviations more.
+def bits_differ(shared: int, own: int, other: int) -> float:
+    """Chance that a fingerprint bit differs between sets of so many shared shingles and shingles of their own.
+
+    Exact over all outcomes; a bit is set if more than half of a set's shingles set it, so ties clear it.
+    """
+    walk = lambda n: np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+    sums = 2 * np.arange(shared + 1) - shared
+    over = lambda n: ((sums[:, None] + 2 * np.arange(n + 1) - n > 0) * walk(n)).sum(axis=1)
+    x, y = over(own), over(other)
+    return float((walk(shared) * (x * (1 - y) + y * (1 - x))).sum())
+
+
+def beyond(share: float, cut: int) -> float:
+    """Chance that more than ``cut`` of 128 bits differ."""
+    return sum(math.comb(128, k) * share**k * (1 - share) ** (128 - k) for k in range(cut + 1, 129))
+
+
+def apart(least: float) -> list[int]:
+    """Bits of 128 in which fingerprints of similar texts may differ, by the shingles of both together.
 
     Sets of that Jaccard similarity have a cosine of 2 s / (1 + s) at least, and each bit of
     large ones differs with the share that their angle has of a half turn: for 0.8 that is 19.4
-    bits in the mean. Of few shingles, sums tie and bits differ more often, so fingerprints tell
-    nothing of sets with fewer than ``LEAST_PRINTED`` shingles together. From there on more than
-    the 43 bits allowed differ in less than one pair of 10^6 (tested by exact sums over all
-    outcomes).
+    bits in the mean and, five deviations on, at most 39. Of few shingles, sums tie and bits
+    differ more often: below ``LEAST_PRINTED`` the least number is taken that more bits exceed with
+    a chance of 10^-5 at most, whichever way the shingles fall. The last number is for all from there on.
     """
     share = math.acos(2 * least / (1 + least)) / math.pi
-    return int(128 * share + 6 * math.sqrt(128 * share * (1 - share)))
+    cuts = []
+    for together in range(LEAST_PRINTED):
+        shared = math.ceil(together * least / (1 + least) - 1e-9)
+        worst = max((bits_differ(shared, a, together - 2 * shared - a) for a in range((together - 2 * shared) // 2 + 1)), default=0.0)
+        cuts.append(next(c for c in range(129) if beyond(worst, c) <= 1e-5))
+    return [*cuts, int(128 * share + 5 * math.sqrt(128 * share * (1 - share)))]
 
 
 def meeting_links(met: DataFrame, labels: DataFrame, least: float, guides: int | None = None, seed: int = 0) -> DataFrame:
@@ -284,8 +305,8 @@ def meeting_links(met: DataFrame, labels: DataFrame, least: float, guides: int |
 
     Of a shingle the texts outside its largest label meet all others; with ``guides``, only so
     many of the largest label, and only in crowded shingles, so that links are in proportion to
-    the texts. A shingle counts for two texts if it may be the first they share, and
-    fingerprints of all but the smallest sets must not be further ``apart`` than similar texts have them.
+    the texts. A shingle counts for two texts if it may be the first they share, and their
+    fingerprints must not be further ``apart`` than similar texts of as many shingles have them.
     """
     met = relabelled(met, labels)
     sizes = met.groupBy("token", "label").count()
@@ -298,7 +319,7 @@ def meeting_links(met: DataFrame, labels: DataFrame, least: float, guides: int |
         y = of_main.select("token", F.explode("of").alias("g")).select("token", F.col("g.text_id").alias("y"), F.col("g.n").alias("ny"), F.col("g.place").alias("py"), F.col("g.label").alias("ly"), F.col("g.h").alias("hy"), F.col("g.l").alias("wy"))
     # Similar texts share so many shingles; from the first they share on, each has that many left.
     shared = f"ceil((nx + ny) * {least / (1 + least)!r} - 1e-9)"
-    alike = f"(nx + ny < {LEAST_PRINTED} or bit_count(hx ^ hy) + bit_count(wx ^ wy) <= {apart(least)})"
+    alike = f"bit_count(hx ^ hy) + bit_count(wx ^ wy) <= array({', '.join(map(str, apart(least)))})[cast(least(nx + ny, {LEAST_PRINTED}) as int)]"
     pairs = x.join(y, "token").where(f"lx <> ly and (ly = main or x < y) and nx - px >= {shared} and ny - py >= {shared} and {alike}")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -355,7 +376,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     five-word shingles (``shingle``) have a Jaccard similarity of ``least`` are linked. That
     connects large groups cheaply but misses pairs; prefix filtering then brings every such
     pair that is not yet connected and whose fingerprints allow it, so that components are those
-    of all pairs, but for one pair in 10^6 at most (``apart``) of those that nothing else
+    of all pairs, but for one pair in 10^5 at most (``apart``) of those that nothing else
     connects, and for equal 64-bit hashes of different shingles within two texts. Null, empty and wordless texts are
     one class; null ids are left out; rows that repeat an id stay separate rows. Texts of any
     length count whole; further columns, clashing or not, are ignored. No rows: no result.
