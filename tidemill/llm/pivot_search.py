@@ -157,13 +157,15 @@ def _matched(k: int) -> Callable:
         for i in range(0, batch.num_rows, 256):
             asked = batch.slice(i, 256)
             scores, out = products(matrix(asked.column("vector")), x), []
-            for q, least, s in zip(asked.column("id").to_pylist(), asked.column("least").to_pylist(), scores):
-                own = slice(*np.searchsorted(ids, [q, q + 1]))
-                s = np.delete(s, own)
+            queries, least = asked.column("id").to_pylist(), asked.column("least").to_numpy(zero_copy_only=False)
+            # Most blocks hold nothing better than what a query has: only rows with a find are looked at one by one.
+            for row in np.flatnonzero((scores >= least[:, None]).any(axis=1)):
+                own = slice(*np.searchsorted(ids, [queries[row], queries[row] + 1]))
+                s = np.delete(scores[row], own)
                 kept = np.delete(np.arange(len(ids)), own)
-                near = np.flatnonzero(s >= least)
+                near = np.flatnonzero(s >= least[row])
                 near = near[best_of(s[near], kept[near], k)]
-                out += [(q, i, v) for i, v in zip(ids[kept[near]].tolist(), s[near].tolist())]
+                out += [(queries[row], i, v) for i, v in zip(ids[kept[near]].tolist(), s[near].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
