@@ -106,12 +106,55 @@ def test_arc_versions():
     rows = [(1, "http://a/b c", b"<p>x\n\n</p>"), (None, None, b""), (3, "http://z", b"line\r\n\r\nWARC/1.1\r\n")]
     for version in ("1", "2"):
         found = list(warc.read_arc(warc.arc_file(rows, version, "n.arc", "20240102030405")))
-        assert [f["URL"] for f, _ in found] == ["http://a/b%20c", "urn:none", "http://z"]
-        assert [warc.http_parts(block)[2] for _, block in found] == [r[2] for r in rows]
-        assert all(len(f) == len(warc.ARC_FIELDS[version].split()) for f, _ in found)
+        assert [f["URL"] for _, f, _ in found] == ["filedesc://n.arc", "http://a/b%20c", "urn:none", "http://z"]
+        assert [warc.http_parts(block)[2] for _, _, block in found[1:]] == [r[2] for r in rows]
+        assert all(len(f) == len(warc.ARC_FIELDS[version].split()) for _, f, _ in found)
 
 
-@pytest.mark.parametrize("damage", [lambda c: c[:-20], lambda c: c.replace(b"text/html 0.0", b"x")[: len(c) - 30]])
+def arc_of(*records):
+    """An archive of version 1 from header lines without length, and blocks."""
+    about = b"1 0 old crawler\nURL IP-address Archive-date Content-type Archive-length\n"
+    return b"".join(b"%s %d\n%s\n" % (line, len(block), block) for line, block in [(b"filedesc://old.arc 0.0.0.0 19970101000000 text/plain", about), *records])
+
+
+@pytest.mark.parametrize("line, url, kind", [
+    ("http://a/x y 1.2.3.4 20010203040506 text/html; charset=utf-8 9", "http://a/x y", "text/html; charset=utf-8"),
+    ("http://a/2001 - 20010203040506 text/html 9", "http://a/2001", "text/html"),
+    ("http://a/20010101000000 20010101 2001:db8::1 20010203 a/b 9", "http://a/20010101000000 20010101", "a/b"),
+])
+def test_header_lines_with_blanks(line, url, kind):
+    fields = warc.header_fields(line, warc.ARC_FIELDS["1"].split())
+    assert (fields["URL"], fields["Content-type"], fields["Archive-length"]) == (url, kind, "9")
+    with pytest.raises(ValueError):
+        warc.header_fields("http://a 1.2.3.4 text/html 9", warc.ARC_FIELDS["1"].split())
+
+
+def test_types_addresses_and_names_of_records(spark, tmp_path):
+    page = b"HTTP/1.0 200 OK\r\nContent-Length: 2\r\n\r\nhi"
+    records = [(b"dns:a.example 10.0.0.1 19970102030405 text/dns", b"a.example. 1 IN A 10.0.0.2\n"), (b"http://a.example/ 10.0.0.2 19970102 text/html; charset=utf-8", page), (b"http://a.example/ 10.0.0.2 19970102 text/html", page), (b"ftp://a.example/f 0.0.0.0 199701020304 application/x-tar", b"\x00\xff")]
+    archives = spark.createDataFrame([(arc_of(*records),)], "content binary")
+    warc.write_warc(warc.convert(archives), str(tmp_path / "w"))
+    held = [f for file in (tmp_path / "w").glob("*.gz") for f, _ in warc.read_warc(file.read_bytes())]
+    told = [(f["WARC-Type"], f["Content-Type"], f.get("WARC-IP-Address"), f["WARC-Date"]) for f in held if f["WARC-Type"] != "warcinfo"]
+    assert sorted(told, key=str) == sorted([
+        ("resource", "text/dns", "10.0.0.1", "1997-01-02T03:04:05Z"), ("response", "application/http; msgtype=response", "10.0.0.2", "1997-01-02T00:00:00Z"),
+        ("response", "application/http; msgtype=response", "10.0.0.2", "1997-01-02T00:00:00Z"), ("resource", "application/x-tar", None, "1997-01-02T03:04:00Z"),
+    ], key=str)
+    assert len({f["WARC-Record-ID"] for f in held}) == 5 and [f["WARC-Filename"] for f in held if f["WARC-Type"] == "warcinfo"] == ["old.arc"]
+    back = {r["url"]: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert bytes(back["ftp://a.example/f"]["payload"]) == b"\x00\xff" and bytes(back["http://a.example/"]["payload"]) == b"hi"
+    assert back["dns:a.example"]["payload_digest"] == hashlib.sha1(records[0][1]).hexdigest()
+
+
+def test_pages_with_clashing_columns_and_a_long_one(spark):
+    long = "é" * 10_000_000
+    df = spark.createDataFrame([(1, "u", long, 0, 0, 0, 0), (2, "v", long, 0, 0, 0, 0), (2, "v", long, 0, 0, 0, 0)], "page_id long, url string, html string, key int, HTML int, record int, kind int")
+    found = warc.archive_pages(df).select("key", "record_type", "refers_to", "payload_bytes", "record_id").collect()
+    assert sorted(tuple(r)[:4] for r in found) == [(1, "revisit", 2, 20_000_000), (2, "response", None, 20_000_000), (2, "response", None, 20_000_000)]
+    assert len({r["record_id"] for r in found}) == 3
+
+
+@pytest.mark.parametrize("damage", [lambda c: c[:-20], lambda c: c.replace(b"20240102030405", b"x")])
 def test_short_arc_fails(damage):
     content = warc.arc_file([(1, "http://a", b"0123456789" * 10)], "1", "n.arc", "20240102030405")
     with pytest.raises(ValueError):
