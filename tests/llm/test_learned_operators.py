@@ -149,6 +149,39 @@ def test_rates_against_plain_projected_gradient(spark):
     assert error(rate) <= error(np.ones(40)) and abs(error(rate) - error(plain)) < 1e-3 * max(1.0, error(np.ones(40)))
 
 
+def test_posteriors_against_plain_regression(spark):
+    """Multinomial regression by plain gradient steps over the same features."""
+    words = [["good", "fine", "calm"], ["||", "spam", "buy"], ["vile", "bad", "rude"]]
+    draw, rows = np.random.default_rng(3), []
+    for i in range(90):
+        rows.append((i, " ".join(draw.choice(words[i % 3] + words[0], 6))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0 if i % 3 == 1 else 1, int(i % 3 == 2)) for i in range(60)], "doc_id long, quality int, toxic int")
+    held = mixing.membership(docs, labels).toPandas().sort_values("doc_id")
+    vectors = mixing.featured(docs).toPandas().sort_values("doc_id")["features"]
+    used = sorted({int(j) for v in vectors for j in v.indices})
+    x = np.array([[v[j] for j in used] for v in vectors])
+    y, w, b = np.eye(3)[np.arange(60) % 3], np.zeros((len(used), 3)), np.zeros(3)
+    soft = lambda z: np.exp(z - z.max(axis=1, keepdims=True)) / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)
+    for _ in range(20_000):
+        error = (soft(x[:60] @ w + b) - y) / 60
+        w, b = w - 1.0 * (x[:60].T @ error + mixing.PENALTY * w), b - 1.0 * error.sum(axis=0)
+    found = held[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
+    assert np.allclose(found.sum(axis=1), 1) and (found >= 0).all()
+    assert abs(found - soft(x @ w + b)).max() < 0.03
+
+
+def test_mixing_of_few_labels_and_far_targets(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    one = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: (r["p_clean"], r["p_low"], r["p_toxic"]) for r in mixing.mix(docs, one).collect()}
+    assert found == {1: (0, 1, 0), 2: (0, 1, 0)}
+    monkeypatch.setattr(mixing, "MOST_STEPS", 1)
+    cells = spark.createDataFrame([(0.9, 0.1, 0.0, 50), (0.2, 0.8, 0.0, 70), (0.3, 0.3, 0.4, 60)], "p_clean double, p_low double, p_toxic double, n long")
+    with pytest.warns(UserWarning, match="still miss a target"):
+        mixing.fit_rates(cells, {"clean": 1.0, "low": 0.0, "toxic": 0.0})
+
+
 def test_mixing_of_odd_rows(odd, empty, labels, no_labels):
     for held in (labels, no_labels, labels.unionByName(labels)):
         found = mixing.mix(odd, held).collect()

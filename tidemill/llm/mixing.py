@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import math
+import warnings
 from functools import reduce
 
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,75 +16,67 @@ from .common import materialise, pick, table
 #: Domains of the labelled table, as SQL over its columns, and the share of tokens each should have.
 DOMAINS = {"clean": "quality = 1 and toxic = 0", "low": "quality = 0", "toxic": "quality = 1 and toxic = 1"}
 TARGETS = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
-#: Labelled documents whose words are mined at most, size of the lexicon, texts and precision a word needs.
-MOST_LABELLED, MOST_WORDS, LEAST_TEXTS, PRECISION = 4000, 300, 3, 0.8
+#: Labelled documents learned from at most, hashed features, parts of one that posteriors are rounded to.
+MOST_LABELLED, FEATURES, GRID = 20_000, 1 << 15, 200
+#: Weight of the squared coefficients in the fit, and its iterations at most.
+PENALTY, ITERATIONS = 3e-4, 60
 #: Pull of rates to one, relative error at which the gradient ends, most steps.
 PULL, CLOSE, MOST_STEPS = 1e-3, 1e-5, 40
 
-#: Upper ends of each feature's bins; the last bin is open.
-BINS = {"shouts": (0.02, 0.2), "pipes": (0.02, 0.2), "symbols": (0.02, 0.2), "distinct": (0.15, 0.3, 0.5, 0.7), "suspects": (0.5, 1.5)}
-
 
 def word_list(text: str) -> Column:
     return F.filter(F.split(F.lower(text), r"[\s\p{Punct}]+"), lambda w: w != "")
 
 
-def binned(value: Column, ends: tuple[float, ...]) -> Column:
-    return reduce(lambda c, e: c + (value > e).cast("int"), ends, F.lit(0))
-
-
-def mine_words(docs: DataFrame, labels: DataFrame, most: int) -> list[str]:
-    """Words of toxic labelled texts that others hardly have, from at most ``most`` labelled rows.
+def featured(docs: DataFrame) -> DataFrame:
+    """``docs`` without text but with n_tokens and a sparse vector of the features that it has; a null text is an empty one.
 
-    The sample takes the ids of smallest hash; it is all that is broadcast. Equal texts count once.
+    Features are its words, the shapes of what stands between blanks (letters as a, digits as 9,
+    runs of signs as ##), the share of shapes with such runs, how varied words and shapes are and
+    how many there are, each hashed and counted once.
     """
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic")
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic").dropDuplicates()
-    words = texts.select("toxic", F.explode(F.array_distinct(word_list("text"))).alias("word"))
-    counted = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
-    sure = counted.where((F.col("a") >= LEAST_TEXTS) & ((F.col("a") + 0.5) / (F.col("n") + 1) >= PRECISION))
-    return [r["word"] for r in sure.orderBy(F.desc("a"), "word").limit(MOST_WORDS).collect()]
-
-
-def featured(docs: DataFrame, suspects: list[str]) -> DataFrame:
-    """(doc_id, n_tokens, a bin per feature) of every document; a null text is an empty one."""
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    held = text.select("doc_id", "text", word_list("text").alias("words"))
-    n = F.greatest(F.size("words"), F.lit(1))
-    without = lambda mark: (F.length("text") - F.length(F.replace(F.col("text"), F.lit(mark), F.lit("")))) / len(mark)
-    values = {
-        "shouts": without("!!") / n,
-        "pipes": without("|") / n,
-        "symbols": F.regexp_count("text", F.lit(r"[#$%&*@^~]{2,}")) / n,
-        "distinct": F.size(F.array_distinct("words")) / n,
-        "suspects": F.size(F.array_intersect("words", F.array(*map(F.lit, suspects)).cast("array<string>"))),
-    }
-    return held.select("doc_id", F.size("words").cast("long").alias("n_tokens"), *[binned(values[f], ends).alias(f) for f, ends in BINS.items()])
-
-
-def membership(features: DataFrame, labels: DataFrame) -> list[Column]:
-    """Posterior of each domain as a column over the feature bins: naive Bayes over the labelled table.
-
-    Counts of (domain, feature, bin) cover all labelled documents; there are at most a few
-    dozen. Without labelled documents all domains are equally likely.
+    held = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("words", word_list("text"))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\p{L}+", "a"), r"\p{N}+", "9"), r"[^\p{L}\p{N}\s]{2,}", "##")
+    held = held.withColumn("shapes", F.split(shape, r"\s+"))
+    n, m, own, kinds = F.size("words"), F.size("shapes"), F.array_distinct("words"), F.array_distinct("shapes")
+    told = lambda mark, value: F.array(F.concat(F.lit(mark), F.floor(value).cast("int").cast("string")))
+    some = lambda part, whole, parts: part / F.greatest(whole, F.lit(1)) * parts
+    marked = F.size(F.filter("shapes", lambda s: s.contains("##")))
+    named = F.concat(own, F.transform(kinds, lambda s: F.concat(F.lit("\x01"), s)), told("\x02", some(F.size(own), n, 20)), told("\x03", F.log2(n + F.lit(1))), told("\x04", some(F.size(kinds), m, 50)), told("\x05", some(marked, m, 20)))
+    kept = [c for c in docs.columns if c != "text"]
+    hashed = HashingTF(inputCol="named", outputCol="features", numFeatures=FEATURES, binary=True)
+    return hashed.transform(held.select(*kept, n.cast("long").alias("n_tokens"), named.alias("named"))).drop("named")
+
+
+def classifier(known: DataFrame) -> LogisticRegressionModel | list[float]:
+    """Multinomial logistic regression of (label, features); of fewer than two labels only their shares."""
+    counts = {int(r["label"]): r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        return [1.0 if k in counts else 0.0 for k in range(len(DOMAINS))] if counts else [1 / len(DOMAINS)] * len(DOMAINS)
+    return LogisticRegression(family="multinomial", standardization=False, regParam=PENALTY, maxIter=ITERATIONS).fit(known)
+
+
+def membership(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, p_<domain>): posteriors of each domain, in parts of 1 / ``GRID``.
+
+    The classifier learns from at most ``MOST_LABELLED`` labelled documents, those of smallest hash
+    of the id; all documents are scored in the JVM. Without labelled documents all domains are
+    equally likely.
     """
-    domain = F.coalesce(*[F.when(F.expr(rule), F.lit(name)) for name, rule in DOMAINS.items()])
-    known = features.join(labels.select("doc_id", domain.alias("domain")).where("domain is not null"), "doc_id")
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("bin")) for f in BINS]))
-    counted = known.select("domain", pairs.alias("p")).groupBy("domain", "p.feature", "p.bin").count().collect()
-    count = {(r["domain"], r["feature"], r["bin"]): r["count"] for r in counted}
-    totals = {d: sum(count.get((d, "shouts", b), 0) for b in range(len(BINS["shouts"]) + 1)) for d in DOMAINS}
-    everyone = sum(totals.values())
-    logits = []
-    for d in DOMAINS:
-        terms = [F.lit(math.log((totals[d] + 1) / (everyone + len(DOMAINS))))]
-        for f, ends in BINS.items():
-            rates = [math.log((count.get((d, f, b), 0) + 0.5) / (totals[d] + 0.5 * (len(ends) + 1))) for b in range(len(ends) + 1)]
-            terms.append(F.element_at(F.array(*map(F.lit, rates)), F.col(f) + 1))
-        logits.append(reduce(lambda a, b: a + b, terms))
-    top = F.greatest(*logits)
-    weights = [F.exp(x - top) for x in logits]
-    return [w / reduce(lambda a, b: a + b, weights) for w in weights]
+    rules = F.coalesce(*[F.when(F.expr(rule), F.lit(float(k))) for k, rule in enumerate(DOMAINS.values())])
+    chosen = labels.select("doc_id", rules.alias("label")).where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    model = classifier(materialise(featured(docs.join(F.broadcast(chosen), "doc_id").select("label", "text")), "labelled-features"))
+    features, names = featured(docs.select("doc_id", "text")), [f"p_{d}" for d in DOMAINS]
+    if isinstance(model, list):
+        held = features.select("doc_id", "n_tokens", *[F.lit(p).alias(n) for p, n in zip(model, names)])
+    else:
+        found = model.transform(features).select("doc_id", "n_tokens", vector_to_array("probability").alias("p"))
+        held = found.select("doc_id", "n_tokens", *[F.coalesce(F.get("p", F.lit(k)), F.lit(0.0)).alias(n) for k, n in enumerate(names)])
+    # The likeliest domain takes what rounding leaves, so that posteriors add up to one and none is negative.
+    rounded = held.select("doc_id", "n_tokens", *[F.round(F.col(n) * GRID).alias(n) for n in names])
+    left = F.lit(GRID) - reduce(lambda a, b: a + b, map(F.col, names))
+    top = F.array_position(F.array(*names), F.greatest(*names))
+    return rounded.select("doc_id", "n_tokens", *[((F.col(n) + F.when(top == k + 1, left).otherwise(0)) / GRID).alias(n) for k, n in enumerate(names)])
 
 
 def rate_after(history: list[list[float]]) -> Column:
@@ -131,6 +126,8 @@ def fit_rates(cells: DataFrame, targets: dict[str, float]) -> list[list[float]]:
             break
         history.append(solved(mass, error))
         before = error
+    else:
+        warnings.warn(f"rates still miss a target by {max(map(abs, error)) / total:.2g} of all tokens after {MOST_STEPS} steps", stacklevel=2)
     return history
 
 
@@ -139,23 +136,23 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Result: doc_id, n_tokens (words), p_<domain>, rate (not negative) and copies, the rate
     rounded up or down by a hash of the id so that its mean is the rate. Rates follow from
-    posteriors alone, and posteriors from feature bins, so documents of one cell of bins (at
-    most a few hundred cells) move together and steps run over cell totals of all documents.
+    a document's own posteriors; as those are in parts of 1 / ``GRID``, steps run over the token totals
+    of at most some 20,000 combinations of them, which cover all documents. If ``MOST_STEPS`` don't
+    bring the totals to the targets, a warning says what is missing.
 
-    A null or empty text has no tokens and gets its cell's rate. Null ids get a rate like
-    others, rows that repeat an id each their own; of labels that repeat an id the lowest
+    A null or empty text has no tokens and a rate by what few features it has. Null ids get a rate
+    like others, rows that repeat an id each their own; of labels that repeat an id the lowest
     quality and highest toxicity count, null ones don't. A target no document can serve stays
-    unmet. No rows: no result.
+    unmet. Texts of any length count whole; further columns, whatever their names, are ignored.
+    No rows: no result.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     labels = pick(labels, doc_id="doc_id", quality="quality", toxic="toxic").where("doc_id is not null")
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality is not null and toxic is not null")
-    features = materialise(featured(docs, mine_words(docs, labels, MOST_LABELLED)), "mixing-features")
-    posterior = [p.alias(f"p_{d}") for p, d in zip(membership(features, labels), DOMAINS)]
-    cells = materialise(features.groupBy(*BINS).agg(F.sum("n_tokens").alias("n")).select(*BINS, "n", *posterior), "mixing-cells")
-    rated = cells.select(*BINS, *[f"p_{d}" for d in DOMAINS], F.round(rate_after(fit_rates(cells, targets)), 9).alias("rate"))
-    # At most as many cells as the bins have combinations, whatever the number of documents.
-    found = features.join(F.broadcast(rated), list(BINS)).select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate")
+    known = materialise(membership(docs, labels), "mixing-posteriors")
+    names = [f"p_{d}" for d in DOMAINS]
+    cells = materialise(known.groupBy(*names).agg(F.sum("n_tokens").alias("n")), "mixing-cells")
+    found = known.select("doc_id", "n_tokens", *names, F.round(rate_after(fit_rates(cells, targets)), 9).alias("rate"))
     uniform = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
     return found.withColumn("copies", F.floor(F.col("rate") + uniform).cast("int"))
 
