@@ -210,3 +210,26 @@ def test_recall_of_the_query_itself(spark, monkeypatch):
     model = ann._loaded(fitted[0])
     assert hits >= 0.9 * len(found) and len(found) == 10 * (ids % 100 == 0).sum()
     assert model["v"].shape[1] >= 4 and model["probes"] < model["v"].shape[1]
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_clustered_vectors_leave_most_rows_unread(spark, monkeypatch, levels):
+    draw = np.random.default_rng(12)
+    centres = draw.normal(size=(60, 16))
+    at = np.where(draw.random(5000) < 0.3, 0, draw.integers(0, 60, 5000))  # one cluster with a third of all
+    x = (centres[at] + 0.15 * draw.normal(size=(5000, 16))).astype(np.float32)
+    for name, value in (("ONE_LEVEL", 64 if levels == 1 else 4), ("TOP_PARTS", 8), ("BLOCK_ROWS", 100), ("GROUP_QUERIES", 20)):
+        monkeypatch.setattr(ann, name, value)
+    held, probing = [], ann._probing
+    monkeypatch.setattr(ann, "_probing", lambda *a: held.append(a) or probing(*a))
+    found = ann.search(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), "id % 50 = 0", 10, part_rows=100 if levels == 2 else 300).toPandas()
+    q = x[::50].astype(float)
+    d = np.sqrt(((q[:, None] - x[None].astype(float)) ** 2).sum(axis=2))
+    d[np.arange(len(q)), np.arange(0, 5000, 50)] = np.inf
+    tenth = np.sort(d, axis=1)[:, 9]
+    hits = sum((near.to_numpy() <= tenth[i // 50] + 1e-9).sum() for i, near in found.groupby("query_id")["score"])
+    assert len(found) == 1000 and hits >= 900
+    router, sizes, slices, least = held[0]
+    read = [sum(sizes[leaf] for leaf in leaves) for leaves in router().probed(q, sizes, least)]
+    assert np.mean(read) <= 0.5 * 5000 and len(router().inner) == (8 if levels == 2 else 0)
+    assert len(sizes) > 8 and max(sizes[c] / slices[c] for c in sizes) <= 100

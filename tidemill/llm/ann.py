@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import materialise, pick, table
 from .training import fit_in_task
-
-#: Vectors in the fit at most, rows of a part and of a block, fewest parts, rows a part has at least, most parts.
-MOST_SAMPLED, PART_ROWS, BLOCK_ROWS, LEAST_PARTS, LEAST_ROWS, MOST_PARTS = 8000, 3000, 1000, 16, 100, 1024
+from .vectors import past_blocks
+
+#: Vectors in a fit at most, rows of a part and of a block, fewest parts, rows a part has at least.
+MOST_SAMPLED, PART_ROWS, BLOCK_ROWS, LEAST_PARTS, LEAST_ROWS = 8000, 3000, 4096, 16, 100
+#: Parts from which a second level divides them, parts that the first then has, and parts of one of them at most.
+ONE_LEVEL, TOP_PARTS, INNER_PARTS = 64, 64, 512
+#: Queries that meet one block in a task, queries of one matrix product, rows of one Arrow batch sent.
+GROUP_QUERIES, AT_ONCE, SENT = 16384, 256, 4096
 #: Neighbours in the graph, slack of a part, refinement rounds, recall to reach on the sample.
 GRAPH, SLACK, PASSES, AIM = 10, 1.1, 6, 0.95
 HIDDEN, EPOCHS, BATCH, RATE = 64, 60, 256, 0.01
@@ -126,50 +131,103 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _routed(model: bytes):
-    """Every row with its most probable part."""
+class Router:
+    """Which parts vectors lie in and queries look into: one network, or one over others.
+
+    Leaves are numbered by part and place in it. A query looks into the parts that its network
+    ranks first, as many as the fit found to be needed, and in each into as many of its inner ones.
+    """
+
+    def __init__(self, top: bytes, inner: dict[int, bytes]):
+        self.top, self.inner = _loaded(top), {p: _loaded(m) for p, m in inner.items()}
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        part = likelihoods(self.top, x).argmax(axis=1)
+        leaf = part * INNER_PARTS
+        for p, model in self.inner.items():
+            rows = np.flatnonzero(part == p)
+            if len(rows):
+                leaf[rows] += likelihoods(model, x[rows]).argmax(axis=1)
+        return leaf
+
+    def probed(self, x: np.ndarray, sizes: dict[int, int], least: int) -> list[np.ndarray]:
+        """The leaves each query looks into; all that its probes say, and more until they hold ``least`` rows."""
+        order = np.argsort(-likelihoods(self.top, x), axis=1, kind="stable")
+        ranked = {p: np.argsort(-likelihoods(m, x), axis=1, kind="stable") for p, m in self.inner.items()}
+        out = []
+        for i, parts in enumerate(order):
+            chosen: list[int] = []
+            seen = 0
+            for rank, p in enumerate(parts.tolist()):
+                if rank >= int(self.top["probes"]) and seen >= least:
+                    break
+                inner = ranked[p][i].tolist() if p in ranked else [0]
+                needed = int(self.inner[p]["probes"]) if p in ranked else 1
+                for place, c in enumerate(inner):
+                    if place >= needed and seen >= least:
+                        break
+                    leaf = p * INNER_PARTS + c
+                    if size := sizes.get(leaf, 0):
+                        chosen.append(leaf)
+                        seen += size
+            out.append(np.array(chosen, np.int64))
+        return out
+
+
+def _routed(router: Callable[[], Router]) -> Callable:
+    """Every row with its leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _loaded(model)
+        held = router()
         for batch in batches:
             if batch.num_rows:
-                part = likelihoods(held, _matrix(batch.column("vector"))).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], ["id", "vector", "part"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.leaves(_matrix(batch.column("vector"))), pa.int32())], ["id", "vector", "leaf"])
 
     return run
 
 
-def _probing(model: bytes, sizes: list[int], least: int):
-    """Every query once per part it probes: the most probable ones, and more until they hold ``least`` rows."""
+def _probing(router: Callable[[], Router], sizes: dict[int, int], slices: dict[int, int], least: int) -> Callable:
+    """Every query once per block of the leaves it looks into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = _loaded(model), np.array(sizes)
+        held = router()
         for batch in batches:
-            if batch.num_rows:
-                order = np.argsort(-likelihoods(held, _matrix(batch.column("vector"))), axis=1, kind="stable")
-                reached = np.cumsum(size[order], axis=1)
-                n = np.maximum(int(held["probes"]), (reached < least).sum(axis=1) + 1).clip(max=len(size))
-                rows = np.repeat(np.arange(len(n)), n)
-                parts = np.concatenate([o[:m] for o, m in zip(order, n)])
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(parts, pa.int32())], ["id", "vector", "part"])
+            for i in range(0, batch.num_rows, AT_ONCE):
+                asked = batch.slice(i, AT_ONCE)
+                for row, leaves in enumerate(held.probed(_matrix(asked.column("vector")), sizes, least)):
+                    n = np.array([slices[leaf] for leaf in leaves.tolist()], np.int64)
+                    leaf = np.repeat(leaves, n)
+                    place = np.arange(len(leaf)) - np.repeat(np.cumsum(n) - n, n)
+                    for j in range(0, len(leaf), SENT):
+                        taken = asked.take(pa.array(np.full(len(leaf[j : j + SENT]), row)))
+                        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(leaf[j : j + SENT], pa.int32()), pa.array(place[j : j + SENT], pa.int32())], ["id", "vector", "leaf", "slice"])
 
     return run
 
 
-def nearest_in_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """Each query's k nearest rows of one block, in double precision, ties to smaller ids."""
-    found: list[tuple] = []
-    if len(queries) and len(rows):
-        ids = rows.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], _matrix(rows.column("vector").combine_chunks())[order]
-        for q, v in zip(queries.column("id").to_pylist(), _matrix(queries.column("vector").combine_chunks())):
-            distance = np.sqrt(((x - v) ** 2).sum(axis=1))
-            distance[ids == q] = np.inf
-            near = np.argsort(distance, kind="stable")[:k]
-            found += [(q, i, d) for i, d in zip(ids[near].tolist(), distance[near].tolist()) if d < np.inf]
-    return pa.table([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+def nearest_in_block(ids: np.ndarray, x: np.ndarray, asked: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+    """Each query's k nearest rows of one block, in double precision, ties to smaller ids.
+
+    A matrix product gives all distances but for rounding; what may be among the k nearest is then
+    measured exactly.
+    """
+    norms = (x * x).sum(axis=1)
+    for i in range(0, asked.num_rows, AT_ONCE):
+        piece = asked.slice(i, AT_ONCE)
+        q, names = _matrix(piece.column("vector")), piece.column("id").to_pylist()
+        about = (q * q).sum(axis=1)[:, None] + norms - 2 * (q @ x.T)
+        out: list[tuple] = []
+        for name, v, d in zip(names, q, about):
+            d[ids == name] = np.inf
+            kept = min(k, len(d) - int((ids == name).sum()))
+            if kept:
+                limit = np.partition(d, kept - 1)[kept - 1] + 1e-9 * (float(v @ v) + norms.max() + 1)
+                near = np.flatnonzero(d <= limit)
+                exact = np.sqrt(((x[near] - v) ** 2).sum(axis=1))
+                best = np.lexsort((ids[near], exact))[:kept]
+                out += [(name, int(ids[near[b]]), float(exact[b])) for b in best]
+        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -181,37 +239,76 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("vector") == (usual["n"] if usual else 0))
 
 
+def inner_models(indexed: DataFrame, sizes: dict[int, int], part_rows: int, k: int) -> dict[int, bytes]:
+    """A graph, parts and a network for each part of the first level, from a bounded sample of its own rows.
+
+    Parts are fitted side by side, each in a task; their networks, at most ``TOP_PARTS`` of some
+    300 KB, are what comes back.
+    """
+    own = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("id"), "id", "vector"))
+    sample = indexed.withColumn("_own", own).where(F.col("_own") <= MOST_SAMPLED).select("leaf", "vector")
+
+    def fitted(key: tuple, rows: pa.Table) -> pa.Table:
+        leaf = key[0].as_py()
+        parts = max(1, min(INNER_PARTS, round(sizes[leaf] / part_rows)))
+        return pa.table({"part": pa.array([leaf // INNER_PARTS], pa.int32()), "model": pa.array([fit(rows, parts, k)], pa.binary())})
+
+    return {r["part"]: bytes(r["model"]) for r in sample.groupBy("leaf").applyInArrow(fitted, "part int, model binary").collect()}
+
+
 def search(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", part_rows: int = PART_ROWS) -> DataFrame:
     """The k nearest others of every query row: query_id, rank (from 1), vec_id, score.
 
     ``is_query`` is an SQL condition on ``id``. The graph, its balanced parts and the
     classifier come from at most ``MOST_SAMPLED`` rows (those of smallest hash); every row is
-    indexed under its most probable part. Parts divide into blocks of about ``BLOCK_ROWS`` by a
-    hash of the id, so copies of one vector fill many blocks; a query visits every block of
-    the parts it probes and its finds are merged.
+    indexed under its most probable part. From ``ONE_LEVEL`` parts of ``part_rows`` on there are two
+    levels: ``TOP_PARTS`` parts, each divided by a graph and a classifier of its own, from as
+    large a sample of its own rows. So the sample grows with the parts, of which there are up
+    to ``TOP_PARTS * INNER_PARTS`` (for 100 million rows at ``PART_ROWS``; beyond, parts grow). Below
+    2 * ``LEAST_ROWS`` rows there is one part, that is, brute force.
+
+    Parts divide into blocks of about ``BLOCK_ROWS`` by a hash of the id, so copies of one vector
+    fill many blocks. A query visits every block of the parts it probes; a task holds one block
+    and streams at most ``GROUP_QUERIES`` queries or so past it.
 
     Rows with a null id or vector, a zero vector, null or non-finite components, or another
     length than most vectors take no part. Of query rows that repeat an id the smallest vector
     asks; candidates with the query's id are its own rows and are left out. A query never
-    probes so few parts that it misses candidates while fewer than k are found.
+    probes so few parts that it misses candidates while fewer than k are found. Vectors of any
+    length and further columns, whatever their names, are fine. No rows: no result.
     """
     rows = usable(vectors, id_col, vector_col)
     total = rows.count()
-    parts = max(1, min(MOST_PARTS, max(round(total / part_rows), min(LEAST_PARTS, total // LEAST_ROWS))))
+    parts = max(1, round(total / part_rows), min(LEAST_PARTS, total // LEAST_ROWS))
+    levels = 1 if parts <= ONE_LEVEL else 2
     sample = rows.orderBy(F.xxhash64("id"), "id", "vector").limit(MOST_SAMPLED).select("vector")
-    model = fit_in_task(sample, lambda held: fit(held, parts, k))
-    if model is None:
+    top = fit_in_task(sample, lambda held: fit(held, parts if levels == 1 else TOP_PARTS, k))
+    if top is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = rows.schema["vector"].dataType.simpleString()
-    indexed = materialise(rows.mapInArrow(_routed(model), f"id long, vector {kind}, part int"), "ann-index")
-    counts = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}
-    sizes = [counts.get(p, 0) for p in range(parts)]
-    slices = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, max(1, -(-sizes[p] // BLOCK_ROWS)))])[F.col("part")]
-    held = indexed.withColumn("slice", F.pmod(F.xxhash64("id", "vector"), slices))
-    asked = rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
-    asked = asked.mapInArrow(_probing(model, sizes, k + 1), f"id long, vector {kind}, part int")
-    asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), (slices - 1).cast("long"))))
-    near = asked.groupBy("part", "slice").cogroup(held.groupBy("part", "slice")).applyInArrow(lambda q, r: nearest_in_block(q, r, k), "query_id long, vec_id long, score double")
+    placed = f"id long, vector {kind}, leaf int"
+
+    def counted(held: DataFrame) -> dict[int, int]:
+        return {r["leaf"]: r["count"] for r in held.groupBy("leaf").count().collect()}
+
+    inner: dict[int, bytes] = {}
+    indexed = materialise(rows.mapInArrow(_routed(lambda: Router(top, {})), placed), "ann-index")
+    if levels == 2:
+        inner = inner_models(indexed, counted(indexed), part_rows, k)
+        indexed = materialise(rows.mapInArrow(_routed(lambda: Router(top, inner)), placed), "ann-index")
+    sizes = counted(indexed)
+    slices = {leaf: -(-n // BLOCK_ROWS) for leaf, n in sizes.items()}
+    asked = indexed.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
+    groups = max(1, -(-asked.count() // GROUP_QUERIES))
+    queries = asked.mapInArrow(_probing(lambda: Router(top, inner), sizes, slices, k + 1), f"{placed}, slice int")
+    queries = queries.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("asks", F.lit(1))
+    # At most as many rows as there can be leaves.
+    cut = vectors.sparkSession.createDataFrame(list(slices.items()), "leaf int, slices int")
+    held = indexed.join(F.broadcast(cut), "leaf").withColumn("slice", F.pmod(F.xxhash64("id", "vector"), F.col("slices")).cast("int")).drop("slices")
+    held = held.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("asks", F.lit(0))
+    key = ("leaf", "slice", "grp")
+    streamed = held.unionByName(queries).select(*key, "asks", "id", "vector").repartition(*key).sortWithinPartitions(*key, "asks")
+    near = streamed.mapInArrow(past_blocks(key, _matrix, lambda ids, x, batch: nearest_in_block(ids, x, batch, k)), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

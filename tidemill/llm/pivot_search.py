@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .training import fit_in_task
-from .vectors import best_of, matrix, products, whole_vectors
+from .vectors import best_of, matrix, past_blocks, products, whole_vectors
 
 #: Vectors in the fit at most, pivots at most, annuli of a pivot.
 MOST_SAMPLED, MOST_PIVOTS, ANNULI = 8192, 4096, 16
@@ -168,25 +168,7 @@ def _matched(k: int) -> Callable:
                 out += [(queries[row], i, v) for i, v in zip(ids[kept[near]].tolist(), s[near].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, ids, x = None, [], None, None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "slice", "grp", "asks")], axis=1)
-            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else []
-            for start, stop in zip(starts, [*starts[1:], len(keys)]):
-                key, piece = tuple(keys[start][:3]), batch.slice(start, stop - start)
-                if key != at:
-                    at, parts, ids = key, [], None
-                if not keys[start][3]:
-                    parts.append((piece.column("id").to_numpy(), matrix(piece.column("vector"))))
-                elif parts:
-                    if ids is None:
-                        ids = np.concatenate([p[0] for p in parts])
-                        order = np.argsort(ids, kind="stable")
-                        ids, x = ids[order], np.concatenate([p[1] for p in parts])[order]
-                    yield from answers(ids, x, piece)
-
-    return run
+    return past_blocks(("cell", "slice", "grp"), matrix, answers)
 
 
 def _scored(asked: DataFrame, index: DataFrame, groups: int, k: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,3 +60,32 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     else:
         kept = np.arange(len(scores))
     return kept[np.lexsort((ids[kept], -scores[kept]))[:k]]
+
+
+def past_blocks(keys: tuple[str, ...], rows_of: Callable, answers: Callable) -> Callable:
+    """A function for ``mapInArrow`` over a stream sorted by ``keys`` and ``asks``: blocks of rows, each followed by its queries.
+
+    A block's rows (``asks`` 0) are gathered in the order of their ids; ``answers(ids, x, batch)``
+    then yields what it finds for a batch of its queries (``asks`` 1). One block and one batch
+    are held at a time, however many queries stream past. Queries of a block without rows find nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, ids, x = None, [], None, None
+        for batch in batches:
+            held = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*keys, "asks")], axis=1)
+            starts = np.flatnonzero(np.r_[True, (held[1:] != held[:-1]).any(axis=1)]) if len(held) else []
+            for start, stop in zip(starts, [*starts[1:], len(held)]):
+                key, piece = tuple(held[start][:-1]), batch.slice(start, stop - start)
+                if key != at:
+                    at, parts, ids = key, [], None
+                if not held[start][-1]:
+                    parts.append((piece.column("id").to_numpy(), rows_of(piece.column("vector"))))
+                elif parts:
+                    if ids is None:
+                        ids = np.concatenate([p[0] for p in parts])
+                        order = np.argsort(ids, kind="stable")
+                        ids, x = ids[order], np.concatenate([p[1] for p in parts])[order]
+                    yield from answers(ids, x, piece)
+
+    return run
