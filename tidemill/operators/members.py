@@ -49,6 +49,20 @@ def silence_gaps(signs: DataFrame, seconds: int) -> DataFrame:
     return held.where(gap).select("host", "silent_from", F.col("ts").alias("silent_to"))
 
 
+def traffic(messages: DataFrame) -> DataFrame:
+    """(host, sent, bytes_sent, received, bytes_received) of messages (sender, receiver, bytes); a null counts as no bytes.
+
+    A host counts on both sides, whichever it is seen on; null hosts are left out. One
+    aggregate, combined before the shuffle, serves both.
+    """
+    size = F.coalesce(F.col("bytes").cast("long"), F.lit(0))
+    sides = F.explode(F.array(F.struct(F.col("sender").alias("host"), F.lit(True).alias("out")), F.struct(F.col("receiver").alias("host"), F.lit(False).alias("out"))))
+    each = messages.select(size.alias("bytes"), sides.alias("s")).select("bytes", "s.host", "s.out").where("host is not null")
+    total = lambda side, value: F.sum(F.when(side, value).otherwise(0)).cast("long")
+    out, into = F.col("out"), ~F.col("out")
+    return each.groupBy("host").agg(total(out, 1).alias("sent"), total(out, F.col("bytes")).alias("bytes_sent"), total(into, 1).alias("received"), total(into, F.col("bytes")).alias("bytes_received"))
+
+
 def false_positives(states: DataFrame, order: str = "ts") -> DataFrame:
     """(host, n): how often a suspected host turned out to be active next."""
     last = F.lag("status").over(Window.partitionBy("host").orderBy(order))

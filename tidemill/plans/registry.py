@@ -10,7 +10,7 @@ from ..functions.text import csv_field, parse_kv
 from ..operators import blocks, catalog, grep, members, rates, ring, tuples
 from ..sources import files
 from ..streaming import runs
-from . import file_queries, stream_queries  # noqa: F401  they register their queries
+from . import admin_queries, file_queries, stream_queries  # noqa: F401  they register their queries
 from . import views as v
 from .registered import QUERIES, SQL, Query, query
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,18 @@ def log_lines(lines: DataFrame, column: str = "line") -> DataFrame:
 def write_tuples(df: DataFrame, path: str, mode: str = "append") -> None:
     """``key TAB value`` lines."""
     df.select(F.concat_ws("\t", "key", "value").alias("value")).write.mode(mode).text(path)
+
+
+def save_locally(spark: SparkSession, path: str, local: str) -> None:
+    """Copy one file from any file system Spark reads to the driver's own, in pieces; an existing file there is an error."""
+    if os.path.exists(local):
+        raise FileExistsError(local)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    source = jvm.Path(path)
+    source.getFileSystem(spark._jsc.hadoopConfiguration()).copyToLocalFile(False, source, jvm.Path(os.path.abspath(local)), True)
+
+
+def write_machines(machines: DataFrame, path: str) -> None:
+    """A cluster configuration (vm, hostname, ip, log_file) as one JSON document with an array ``vms``."""
+    entry = F.struct(F.col("vm").alias("id"), "hostname", "ip", "log_file")
+    machines.agg(F.array_sort(F.collect_list(entry)).alias("vms")).coalesce(1).write.json(path)

@@ -98,6 +98,11 @@ def exactly_once(stream: DataFrame, id_col: str = "tuple_id", time_col: str | No
     return stream.withWatermark(time_col, lateness).dropDuplicatesWithinWatermark([id_col])
 
 
+def run_to_console(stream: DataFrame, checkpoint: str, most: int = 20, mode: str = "append") -> None:
+    """Print the first ``most`` rows of each batch on the driver until the source is exhausted."""
+    stream.writeStream.outputMode(mode).format("console").option("numRows", most).option("truncate", False).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 class Pipeline:
     """A source and a list of stages, each a frame-to-frame function, run as batch or stream."""
 
