@@ -164,6 +164,17 @@ def _cleaned(width: int):
     return run
 
 
+def _unmarked(width: int):
+    """Rows that no window marks, whatever they hold; a batch at a time."""
+    clean, none = _cleaned(width), pa.table({"ids": pa.array([], pa.binary()), "starts": pa.array([], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", CHUNK_BYTES):
+            yield from clean(pa.Table.from_batches([batch]), none).to_batches()
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
     """Remove words that a window of ``width`` words covers if that window also starts earlier.
 
@@ -189,8 +200,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
     marks = windows.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_late_windows(blocks), MARK_SCHEMA).repartition(parts, "block")
     place = F.shiftright(F.pmod("doc_id", F.lit(MIX_MODULUS)) * MIX_FACTOR, 20) % blocks
-    held = docs.withColumn("block", F.coalesce(place, F.pmod(F.xxhash64("text"), F.lit(blocks)))).repartition(parts, "block")
-    return held.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cleaned(width), RESULT_SCHEMA)
+    held = docs.where("doc_id is not null").withColumn("block", place).repartition(parts, "block")
+    cleaned = held.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cleaned(width), RESULT_SCHEMA)
+    # Rows without an id need no marks and so no shuffle, however many there are of one text.
+    return cleaned.unionByName(docs.where("doc_id is null").mapInArrow(_unmarked(width), RESULT_SCHEMA))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
