@@ -165,3 +165,17 @@ def test_rates_of_all_tasks(spark):
     tasks = spark.createDataFrame([(1,), (2,)], "task long")
     reported = spark.createDataFrame([(1, 5.0, 1), (1, 7.0, 2), (3, 9.0, 1)], "task long, rate double, ts long")
     assert rows(catalog.with_rates(tasks, reported)) == [(1, 7.0), (2, 0.0)]
+
+
+def test_upserts_of_maps(spark):
+    from tidemill.operators import tuples
+
+    df = spark.createDataFrame([({"a": 1, "b": 2}, "a", 9), ({}, "x", 1), (None, "x", 1), ({"a": 1}, None, 5), ({"a": 1}, "a", None)], "m map<string,int>, k string, v int")
+    assert [r[0] for r in df.select(tuples.upserted("m", "k", "v")).collect()] == [{"b": 2, "a": 9}, {"x": 1}, {"x": 1}, {"a": 1}, {"a": None}]
+
+
+def test_binary_content_of_one_replica(spark):
+    held = [("f", r, b, "c", b, 1, bytes([b, 255])) for r in (0, 1) for b in range(5) if (r, b) != (1, 3)] + [("f", 1, 0, "c", 0, 1, bytes([0, 255]))]
+    df = spark.createDataFrame(held, "file string, replica int, block_id long, client string, seq long, ts long, data binary")
+    found = blocks.content(blocks.of_replica(df, 1), per_segment=2).orderBy("start").collect()
+    assert b"".join(bytes(r["data"]) for r in found) == b"\x00\xff\x01\xff\x02\xff\x04\xff" and [r["start"] for r in found][0] == 0

@@ -5,7 +5,7 @@ Blocks are rows (file, replica, block_id, client, seq, ts, data); ``ts`` in micr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_COLUMNS = ("file", "block_id", "client", "seq", "ts", "data")
@@ -57,14 +57,27 @@ def sequence_gaps(blocks: DataFrame) -> DataFrame:
     return held.where(F.col("seq") - F.col("last_seq") > 1).select("client", "seq", (F.col("seq") - F.col("last_seq") - 1).alias("missing"))
 
 
+def of_replica(copies: DataFrame, replica: int) -> DataFrame:
+    """The blocks that one replica holds, each once, in the order of their files: what a read from it gives, gaps and all."""
+    return merged(copies.where(F.col("replica") == replica))
+
+
+def joined_bytes(pieces: Column) -> Column:
+    """An array of BINARY values as one, in time that grows with their length."""
+    return F.unhex(F.array_join(F.transform(pieces, lambda p: F.hex(p)), ""))
+
+
 def content(merged_blocks: DataFrame, per_segment: int = 256) -> DataFrame:
     """(file, segment, start, length, data): content in segments of so many blocks, with byte offsets.
 
-    Concatenating the segments by ``start`` gives the file; a whole file may not fit a row.
+    Concatenating the segments by ``start`` gives the file; a whole file may not fit a row. BINARY
+    blocks give BINARY segments, null ones count as empty.
     """
     segment = F.floor((F.col("pos") - 1) / per_segment).alias("segment")
     parts = merged_blocks.groupBy("file", segment).agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("parts"))
-    joined = parts.select("file", "segment", F.array_join(F.transform("parts", lambda p: p["data"]), "").alias("data")).withColumn("length", F.octet_length("data").cast("long"))
+    pieces = F.transform("parts", lambda p: p["data"])
+    text = F.array_join(pieces, "") if dict(merged_blocks.dtypes)["data"] != "binary" else joined_bytes(F.array_compact(pieces))
+    joined = parts.select("file", "segment", text.alias("data")).withColumn("length", F.octet_length("data").cast("long"))
     # Only lengths are put in order in a task of their own; the data stays where its segment is.
     lengths = merged_blocks.groupBy("file", segment).agg(F.sum(F.octet_length("data")).alias("length"))
     start = F.sum("length").over(Window.partitionBy("file").orderBy("segment")) - F.col("length")
@@ -134,7 +147,7 @@ def byte_ranges(index: DataFrame, wanted: DataFrame, cell: int = CELL) -> DataFr
     skipped = F.greatest(F.col("offset") - F.col("start"), F.lit(0))
     piece = F.substring("data", (skipped + 1).cast("int"), (F.least("stop", "last") - F.greatest("start", "offset")).cast("int"))
     parts = met.groupBy("file", "offset", "length").agg(F.array_sort(F.collect_list(F.struct("start", piece.alias("piece")))).alias("parts"))
-    joined = F.aggregate(F.transform("parts", lambda p: p["piece"]), F.lit(b""), lambda a, p: F.concat(a, p))
+    joined = joined_bytes(F.transform("parts", lambda p: p["piece"]))
     there = index.select("file").distinct().withColumn("there", F.lit(True))
     found = asked.join(parts.select("file", "offset", "length", joined.alias("bytes")), ["file", "offset", "length"], "left").join(there, "file", "left")
     return found.select("file", "offset", "length", F.when(F.col("there"), F.coalesce("bytes", F.lit(b""))).alias("bytes"))

@@ -59,6 +59,14 @@ def partition_of(key: Column | str, n: int) -> Column:
     return F.pmod(F.conv(F.substring(F.sha1(key), 1, 8), 16, 10).cast("long"), F.lit(n))
 
 
+def upserted(state: Column | str, key: Column | str, value: Column | str) -> Column:
+    """A map with ``value`` under ``key``, in place of what stood there; a null map counts as empty, a null key changes nothing."""
+    state = F.col(state) if isinstance(state, str) else state
+    key, value = (F.col(c) if isinstance(c, str) else c for c in (key, value))
+    others = F.map_filter(state, lambda k, _: k != key)
+    return F.when(key.isNull(), state).when(state.isNull(), F.create_map(key, value)).otherwise(F.map_concat(others, F.create_map(key, value)))
+
+
 #: Operators by name; arguments arrive as a list of strings.
 OPERATORS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
     "filter": lambda df, args: filter_literal(df, args[0]),

@@ -100,3 +100,18 @@ def q79(spark, sf_dir):
 @query("q80_traffic", "with m as (select user_id as sender, (user_id * 7 + event_id) % 150 as receiver, strlen(props) as bytes from events), s as (select sender as host, count(*) as sent, sum(bytes)::bigint as bytes_sent, 0 as received, 0 as bytes_received from m group by 1 union all select receiver, 0, 0, count(*), sum(bytes)::bigint from m group by 1) select host, sum(sent)::bigint as sent, sum(bytes_sent)::bigint as bytes_sent, sum(received)::bigint as received, sum(bytes_received)::bigint as bytes_received from s group by 1")
 def q80(spark, sf_dir):
     return members.traffic(v.table(spark, sf_dir, "events").select(F.col("user_id").alias("sender"), ((F.col("user_id") * 7 + F.col("event_id")) % 150).alias("receiver"), F.octet_length("props").alias("bytes")))
+
+
+@query("q81_replica_content", f"select file, segment, (sum(length) over (partition by file order by segment) - length)::bigint as start, length, sha1(data) as sha1 from (select file, (pos - 1) // 256 as segment, string_agg(data, '' order by pos) as data, strlen(string_agg(data, '' order by pos)) as length from (select file, data, row_number() over (partition by file order by client, seq, ts, block_id) as pos from (select distinct file, block_id, client, seq, ts, data from ({v.BLOCK_COPIES}) where replica = 1)) group by 1, 2)")
+def q81(spark, sf_dir):
+    copies = v.block_copies(spark, sf_dir).withColumn("data", F.col("data").cast("binary"))
+    return blocks.content(blocks.of_replica(copies, 1)).select("file", "segment", "start", "length", F.sha1("data").alias("sha1"))
+
+
+@query("q82_state_maps", "select user_id, count(distinct event_type) as kinds, arg_max(props, ts) filter (event_type = 'click') as clicked, count(distinct event_type) + case when bool_or(event_type = 'click') then 0 else 1 end as after, 'seen' as now from events group by 1")
+def q82(spark, sf_dir):
+    latest = v.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("props", "ts").alias("props"))
+    state = F.map_from_entries(F.collect_list(F.struct("event_type", "props")))
+    held = latest.groupBy("user_id").agg(state.alias("state")).withColumn("updated", tuples.upserted("state", F.lit("click"), F.lit("seen")))
+    get = lambda m: F.try_element_at(m, F.lit("click"))
+    return held.select("user_id", F.size("state").cast("long").alias("kinds"), get("state").alias("clicked"), F.size("updated").cast("long").alias("after"), get("updated").alias("now"))
