@@ -26,7 +26,11 @@ def of_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose attention-weighted passages score at least ``LEAST_QUALITY``."""
+    """Documents whose attention-weighted passages score at least ``LEAST_QUALITY``.
+
+    A null text scores as an empty one; null and repeated ids are judged row by row. Without labels
+    every score is 0.5, so all stay. Texts of any length are read whole.
+    """
     docs = of_documents(docs)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return docs.withColumn("_score", quality.score("text", model)).where(F.col("_score") >= LEAST_QUALITY).drop("_score")
@@ -45,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret span masked."""
+    """All documents, with every secret span masked; a null text stays null, and n_chars follows the text where it changed."""
     held = of_documents(docs).withColumn("_masked", secrets.masked("text"))
     changed = ~F.col("_masked").eqNullSafe(F.col("text"))
     n_chars = F.when(changed, F.length("_masked").cast("long")).otherwise(F.col("n_chars"))
@@ -53,7 +57,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as its rounded rate says; none if that is zero."""
+    """Every document as many times as its rounded rate says; none if that is zero.
+
+    Rows that repeat an id take the highest of its copies; null texts have a rate by the few
+    features of an empty one, and rows without an id stay once.
+    """
     docs = of_documents(docs)
     rates = mixing.mix(docs, table(spark, sf_dir, "labels"), targets=TARGETS).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
     # Documents without an id have no rate of their own: they stay once.
@@ -62,7 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens; a null text is an empty one and has the closing id only."""
     pieces = packing.pack(of_documents(docs))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -100,7 +100,8 @@ def secret_spans(text: Column | str, scope: int = SCOPE) -> Column:
     """Column of spans (kind, start, stop), code points, of every whole text.
 
     Stop is exclusive; order is by start, then kind as in ``KINDS``. Every row stands alone,
-    so ids, repeated rows and further columns don't matter. A null or empty text has no spans.
+    so ids, repeated rows, clashing columns and empty tables don't matter. A null or empty text has
+    no spans; a text of any length is read whole, as one value.
     """
 
     @F.arrow_udf(SPANS)
