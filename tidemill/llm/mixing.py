@@ -20,6 +20,8 @@ TARGETS = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
 MOST_LABELLED, FEATURES, GRID = 20_000, 1 << 15, 200
 #: Weight of the squared coefficients in the fit, and its iterations at most.
 PENALTY, ITERATIONS = 3e-4, 60
+#: Tasks of a step of the fit.
+FIT_TASKS = 8
 #: Pull of rates to one, relative error at which the gradient ends, most steps.
 PULL, CLOSE, MOST_STEPS = 1e-3, 1e-5, 40
 
@@ -65,7 +67,9 @@ def membership(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     rules = F.coalesce(*[F.when(F.expr(rule), F.lit(float(k))) for k, rule in enumerate(DOMAINS.values())])
     chosen = labels.select("doc_id", rules.alias("label")).where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    model = classifier(materialise(featured(docs.join(F.broadcast(chosen), "doc_id").select("label", "text")), "labelled-features"))
+    known = materialise(featured(docs.join(F.broadcast(chosen), "doc_id").select("label", "text")), "labelled-features")
+    # A bounded sample: every step of the fit is then a few tasks, each of which sends a gradient.
+    model = classifier(known.coalesce(FIT_TASKS))
     features, names = featured(docs.select("doc_id", "text")), [f"p_{d}" for d in DOMAINS]
     if isinstance(model, list):
         held = features.select("doc_id", "n_tokens", *[F.lit(p).alias(n) for p, n in zip(model, names)])
