@@ -28,25 +28,26 @@ def q71(spark, sf_dir):
     return catalog.own_machine(hosts, files.machines(spark, path)).select("host", "ip", "vm")
 
 
-@query("q72_whole_files", "select kind as file, strlen(content)::bigint as length, sha1(content) as sha1 from (select 'kind=' || event_type as kind, string_agg(props || chr(10), '' order by ts, event_id) as content from events where user_id = 5 and event_type in ('click', 'view') group by 1)")
+@query("q72_whole_files", "select kind as file, strlen(content)::bigint as length, sha1(content) as sha1 from (select 'kind=' || event_type as kind, string_agg(props || chr(10), '' order by ts, event_id) as content from events group by 1)")
 def q72(spark, sf_dir):
     path = scratch(spark, "whole-files")
-    own = v.table(spark, sf_dir, "events").where("user_id = 5").select(F.col("event_type").alias("kind"), "ts", "event_id", F.col("props").alias("value"))
+    own = v.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "ts", "event_id", F.col("props").alias("value"))
     own.repartition("kind").sortWithinPartitions("kind", "ts", "event_id").select("kind", "value").write.partitionBy("kind").text(path)
     there = files.file_bytes(spark, f"{path}/kind=*").select(F.regexp_extract("path", r"(kind=[^/]*)/[^/]*$", 1).alias("file"), "length", F.sha1("content").alias("sha1"))
-    wanted = spark.createDataFrame([("kind=click",), ("kind=view",), ("kind=none",)], "file string")
-    return there.join(catalog.existing(wanted, there), "file", "left_semi")
+    # All kinds are asked for, and one that isn't there.
+    asked = own.select(F.concat(F.lit("kind="), "kind").alias("file")).distinct().unionByName(spark.createDataFrame([("kind=none",)], "file string"))
+    return there.join(catalog.existing(asked, there), "file", "left_semi")
 
 
-@query("q73_appended_blocks", "select event_type as file, 'c' || cast(user_id as varchar) as client, count(*) as n from events where event_type <> 'error' and user_id % 4 < 3 group by 1, 2")
+@query("q73_appended_blocks", "select event_type as file, 'c' || cast(user_id as varchar) as client, count(*) as n from events where event_type <> 'error' group by 1, 2")
 def q73(spark, sf_dir):
     path = scratch(spark, "appended")
-    placed = v.block_copies(spark, sf_dir).select("file", "block_id", "client", "seq", "ts", "data", "replica")
-    # Each block once, of whichever replica holds it.
-    own = blocks.deduplicated(placed)
-    part = lambda n: own.where(F.substring("client", 2, 20).cast("long") % 4 == n)
+    # Each block once, of whichever replica holds it; one client in four creates the files, the others append in two writes.
+    own = blocks.deduplicated(v.block_copies(spark, sf_dir)).withColumn("turn", F.substring("client", 2, 20).cast("long") % 4)
+    part = lambda n: own.where(F.col("turn") == n).drop("turn")
     blocks.create_file(part(0), path)
-    blocks.append_blocks(catalog.appended(part(1), part(2)), path)
+    blocks.append_blocks(part(1), path)
+    blocks.append_blocks(catalog.appended(part(2), part(3)), path)
     kept = catalog.without_files(spark.read.parquet(path), spark.createDataFrame([("error",)], "file string"))
     return kept.groupBy("file", "client").agg(F.count(F.lit(1)).alias("n"))
 

@@ -87,16 +87,15 @@ def q69(spark, sf_dir):
     return catalog.tally(answers).withColumn("failures", F.array_join("failures", ","))
 
 
-#: One block for each kind of event of a user and day; every seventh is listed, but its file is missing.
-STORED = "select event_type as file, user_id || '-' || day(ts) || '-' || event_type as block_id, 'c' || user_id as client, day(ts)::bigint as seq, min(epoch_us(ts)) as ts, string_agg(props, '|' order by ts, event_id) as data from events where user_id < 10 group by all"
+#: One block for each kind of event and day, with all its properties; every seventh or so is listed, but its file is missing.
+STORED = "select event_type as file, day(ts) || '-' || event_type as block_id, 'c' || day(ts) as client, day(ts)::bigint as seq, min(epoch_us(ts)) as ts, string_agg(props, '|' order by ts, event_id) as data from events group by all"
 
 
 @query("q70_block_store", f"select file, block_id, client, seq, ts, data, strlen(data)::bigint as size from ({STORED} having min(event_id) % 7 <> 0)")
 def q70(spark, sf_dir):
-    events = v.table(spark, sf_dir, "events").where("user_id < 10")
     props = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "props"))), lambda r: r["props"])
-    held = events.withColumn("seq", F.dayofmonth("ts").cast("long")).groupBy("event_type", "user_id", "seq").agg(F.min(v.micros("ts")).alias("ts"), F.array_join(props, "|").alias("data"), F.min("event_id").alias("first"))
-    made = held.select(F.col("event_type").alias("file"), F.concat_ws("-", F.col("user_id").cast("string"), F.col("seq").cast("string"), "event_type").alias("block_id"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("client"), "seq", "ts", "data", "first")
+    held = v.table(spark, sf_dir, "events").withColumn("seq", F.dayofmonth("ts").cast("long")).groupBy("event_type", "seq").agg(F.min(v.micros("ts")).alias("ts"), F.array_join(props, "|").alias("data"), F.min("event_id").alias("first"))
+    made = held.select(F.col("event_type").alias("file"), F.concat_ws("-", F.col("seq").cast("string"), "event_type").alias("block_id"), F.concat(F.lit("c"), F.col("seq").cast("string")).alias("client"), "seq", "ts", "data", "first")
     metadata, folder = scratch(spark, "metadata"), scratch(spark, "blocks")
     block_store.write_metadata(made, metadata)
     block_store.write_block_texts(made.where("first % 7 <> 0"), folder)
