@@ -83,6 +83,19 @@ def test_placement_against_a_walk_around_the_ring(spark, n):
     assert rows(placed) == plain_placement(names, nodes)
 
 
+def test_moves_read_the_ring_once(spark):
+    """No frame starts at each node anew, and the moves are the differences of two walks around the ring."""
+    names, nodes = [f"file{i}" for i in range(60)] + ["node1"], [f"node{i}" for i in range(12)]
+    frame = lambda values, name: spark.createDataFrame([(x,) for x in values], f"{name} string")
+    by_place = sorted(nodes, key=lambda x: hashlib.sha1(x.encode()).hexdigest())
+    for lost in ([by_place[0]], [by_place[-1]], by_place[3:6], by_place[2:], []):
+        left = [x for x in nodes if x not in lost]
+        moved = ring.moves(frame(names, "file"), frame(nodes, "node"), frame(left, "node"))
+        had, has = ({(f, x) for f, x, _ in plain_placement(names, of)} for of in (nodes, left))
+        assert rows(moved) == sorted([(*c, "fetch") for c in has - had] + [(*c, "delete") for c in had - has])
+    assert "currentrow$(), unboundedfollowing" not in moved._jdf.queryExecution().analyzed().toString()
+
+
 def test_merge_order_and_earliest_copy(spark):
     held = [("f", 0, "b1", "vmA", 0, 5, "x"), ("f", 1, "b1", "vmA", 0, 4, "y"), ("f", 0, "b2", "create", 0, 0, "c"), ("f", 0, "b3", "172.1", 0, 9, "i"), ("f", 2, "b2", "create", 0, 0, "c")]
     df = spark.createDataFrame(held, "file string, replica int, block_id string, client string, seq long, ts long, data string")

@@ -65,8 +65,9 @@ def moved_arcs(before: DataFrame, after: DataFrame, replicas: int = REPLICAS) ->
     """
     a, b = (owners(nodes, replicas).withColumnRenamed("owners", name) for nodes, name in ((before, "had"), (after, "has")))
     points = a.join(b, "pos", "full")
-    onward, whole = Window.orderBy("pos").rowsBetween(0, Window.unboundedFollowing), Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    next_of = lambda c: F.coalesce(F.first(c, ignorenulls=True).over(onward), F.first(c, ignorenulls=True).over(whole), F.array().cast("array<string>")).alias(c)
+    # From the last node backwards, so that a frame grows by a row at a time: none is read anew for each row.
+    onward, whole = Window.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    next_of = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(onward), F.first(c, ignorenulls=True).over(whole), F.array().cast("array<string>")).alias(c)
     pieces = arcs(points.select("pos", next_of("had"), next_of("has")), "had", "has")
     return pieces.where(F.array_sort("had") != F.array_sort("has"))
 
