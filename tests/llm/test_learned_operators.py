@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,6 +36,20 @@ def test_toxicity_on_held_out_labels(spark):
     assert (held["y"][called] == 1).mean() > 0.95 and called[held["y"] == 1].mean() > 0.85
 
 
+def test_quality_holds_little_beside_its_texts():
+    texts = pa.RecordBatch.from_arrays([pa.array(["Plain words, in lines.\n" * 100] * 2000), pa.array([1.0, 0.0] * 1000)], ["text", "label"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(quality._features(iter([texts])))
+    encoding = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    quality.fit(found.slice(0, 64))
+    before = tracemalloc.get_traced_memory()[0]
+    quality.fit(pa.concat_tables([found] * 2))
+    fitting = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert found.num_rows == 2000 and encoding < 60e6 and fitting < 3 * 2 * found.nbytes
+
+
 @pytest.mark.parametrize("run", [quality.score_quality, toxicity.score_toxicity])
 def test_scores_of_odd_rows(odd, empty, labels, no_labels, run):
     found = run(odd, labels.unionByName(labels.select(F.lit(None).cast("long").alias("doc_id"), F.lit(1).alias("quality"), F.lit(None).cast("int").alias("toxic")))).collect()

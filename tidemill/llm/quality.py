@@ -16,7 +16,7 @@ from .training import fit_in_task, fold, labelled_sample
 #: Bytes of one passage, labelled documents in a fit at most, and the fold held out.
 PASSAGE, MOST_LABELLED, FOLDS, HELD = 400, 8000, 4, 2
 #: Bytes encoded at a time, and of a run of passages of one text.
-CHUNK_BYTES, RUN_BYTES = 2 << 20, 2000 * PASSAGE
+CHUNK_BYTES, RUN_BYTES = 1 << 19, 2000 * PASSAGE
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 24, 12, 30, 64, 0.005, 1e-4
 
 #: Byte classes; the encoding counts each pair of neighbours' classes.
@@ -141,7 +141,7 @@ class Model:
 def fit(sample: pa.Table) -> bytes:
     """Adam over the log loss; rows come as (counts, features, label) and are put in a fixed order."""
     rows = sorted(zip(sample.column("features").to_pylist(), sample.column("label").to_pylist()))
-    bags = [np.frombuffer(f, np.float16).reshape(-1, WIDTH).astype(np.float64) for f, _ in rows]
+    bags = [np.frombuffer(f, np.float16).reshape(-1, WIDTH) for f, _ in rows]
     y = np.array([label for _, label in rows])
     counts = np.array([len(b) for b in bags])
     model, random = Model.fresh(), np.random.default_rng(11)
@@ -154,7 +154,7 @@ def fit(sample: pa.Table) -> bytes:
         for i in range(0, len(y), BATCH):
             part = order[i : i + BATCH]
             done += 1
-            for k, g in model.gradient(np.concatenate([bags[j] for j in part]), counts[part], y[part]).items():
+            for k, g in model.gradient(np.concatenate([bags[j] for j in part]).astype(np.float64), counts[part], y[part]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 move = first[k] / (1 - 0.9**done) / (np.sqrt(second[k] / (1 - 0.999**done)) + 1e-8)
