@@ -1,6 +1,9 @@
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemill.operators import members
@@ -27,6 +30,37 @@ def test_counts_follow_time_across_batches(spark, tmp_path):
     assert found() == {1: 1, 2: 2, 5: 3, 6: 4, 70: 5, 399: 6, 400: 7, 401: 8}
 
 
+class Held(list):
+    """A list state, or a value state of one element, that tells its elements."""
+
+    appendList, exists = list.extend, list.__len__
+
+    def put(self, rows):
+        self[:] = rows
+
+    def get(self):
+        return self if not self or isinstance(self[0][0], bytes) else self[0]
+
+    def update(self, row):
+        self[:] = [row]
+
+
+def test_buffers_move_runs_of_rows():
+    """A key's 100,000 rows are a few elements of state, and leave in the order of time whatever frames bring them."""
+    states, timers = {}, []
+    handle = SimpleNamespace(getListState=lambda name, _: states.setdefault(name, Held()), getValueState=lambda name, _: states.setdefault(name, Held()), registerTimer=timers.append)
+    counting, clock = ordered.Counting(), lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    counting.init(handle)
+    ms = np.random.default_rng(5).permutation(100_000)
+    frames = [pd.DataFrame({"ms": part, "id": part * 2}) for part in np.split(ms, 10)]
+    assert list(counting.handleInputRows(("g", 0), iter(frames), clock(0))) == [] and timers == [1]
+    assert len(states["pending"]) == 2
+    first, second = (pd.concat(counting.handleExpiredTimer(("g", 0), clock(at), None)) for at in (69_999, 100_000))
+    assert timers[1:] == [70_000] and not states["pending"]
+    out = pd.concat([first, second])
+    assert len(first) == 70_000 and (out["ms"] == range(100_000)).all() and (out["id"] == 2 * out["ms"]).all() and (out["n"] == out["ms"] + 1).all()
+
+
 def stepwise(signs, limits):
     """Changes of each host by a clock that looks at every millisecond."""
     out, last = [], max(t for _, t, _ in signs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,13 @@ from .runs import run_to_end
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Rows of a key that one element of its buffer holds at most.
+RUN_ROWS = 1 << 16
+
+
+def packed(rows: np.ndarray) -> list[tuple[bytes]]:
+    return [(rows[i : i + RUN_ROWS].tobytes(),) for i in range(0, len(rows), RUN_ROWS)]
+
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
@@ -37,37 +45,38 @@ def run_ordered(stream: DataFrame, **options: str) -> DataFrame:
 class Reordered(StatefulProcessor):
     """Keeps a key's rows until the watermark has passed them, then hands them on in order.
 
-    Rows are (ms, tie, ...) with an event time in milliseconds; subclasses take those up to
+    Rows are whole numbers (ms, tie, ...) with an event time in milliseconds; subclasses take those up to
     the watermark, sorted, in ``release`` and say when they want to be woken next. The buffer
-    holds a key's rows of one lateness, whatever order batches bring them in.
+    holds a key's rows of one lateness, whatever order batches bring them in. It is a list of
+    runs of packed rows, so that a call to the state moves up to ``RUN_ROWS`` rows, not one.
     """
 
     columns: tuple[str, ...]
-    shape: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.shape)
+        self.pending = handle.getListState("pending", "rows binary")
 
-    def release(self, key: tuple, rows: list[tuple], watermark: int) -> tuple[pd.DataFrame | None, int | None]:
+    def release(self, key: tuple, rows: np.ndarray, watermark: int) -> tuple[pd.DataFrame | None, int | None]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for frame in rows for r in zip(*(frame[c].tolist() for c in self.columns))]
+        new = [np.column_stack([frame[c].astype("int64").to_numpy() for c in self.columns]) for frame in rows if len(frame)]
         if new:
-            self.pending.appendList(new)
+            self.pending.appendList(packed(np.concatenate(new)))
             # Timers at or before the watermark fire with the next batch.
-            self.handle.registerTimer(max(min(r[0] for r in new), timerValues.getCurrentWatermarkInMs() + 1))
+            self.handle.registerTimer(max(int(min(x[:, 0].min() for x in new)), timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.pending.get())
-        ready = [r for r in held if r[0] <= watermark]
-        if ready:
-            self.pending.put(held[len(ready) :]) if len(ready) < len(held) else self.pending.clear()
-        out, wake = self.release(key, ready, watermark)
-        wakes = [t for t in (held[len(ready)][0] if len(ready) < len(held) else None, wake) if t is not None]
+        watermark, width = timerValues.getCurrentWatermarkInMs(), len(self.columns)
+        held = np.concatenate([np.zeros((0, width), np.int64), *[np.frombuffer(run, np.int64).reshape(-1, width) for (run,) in self.pending.get()]])
+        held = held[np.lexsort(held.T[::-1])]
+        n = int(np.searchsorted(held[:, 0], watermark, side="right"))
+        if n:
+            self.pending.put(packed(held[n:])) if n < len(held) else self.pending.clear()
+        out, wake = self.release(key, held[:n], watermark)
+        wakes = [t for t in (int(held[n, 0]) if n < len(held) else None, wake) if t is not None]
         if wakes:
             self.handle.registerTimer(min(wakes))
         if out is not None and len(out):
@@ -80,18 +89,18 @@ class Reordered(StatefulProcessor):
 class Counting(Reordered):
     """Numbers a group's rows of one cell of time."""
 
-    columns, shape = ("ms", "id"), "ms long, id long"
+    columns = ("ms", "id")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.counted = handle.getValueState("counted", "n long")
 
     def release(self, key, rows, watermark):
-        if not rows:
+        if not len(rows):
             return None, None
         before = self.counted.get()[0] if self.counted.exists() else 0
         self.counted.update((before + len(rows),))
-        return pd.DataFrame({"grp": key[0], "cell": key[1], "ms": [r[0] for r in rows], "id": [r[1] for r in rows], "n": range(before + 1, before + len(rows) + 1)}), None
+        return pd.DataFrame({"grp": key[0], "cell": key[1], "ms": rows[:, 0], "id": rows[:, 1], "n": np.arange(before + 1, before + len(rows) + 1)}), None
 
 
 def ordered_counts(stream: DataFrame, lateness: str, group: str = "grp", order: str = "event_id", time: str = "ts", cell: str = "1 hour") -> DataFrame:
@@ -117,7 +126,7 @@ def running_totals(counts: DataFrame) -> DataFrame:
 class Watching(Reordered):
     """A host's state, moved on by its signs and by the clock."""
 
-    columns, shape = ("ms", "kind"), "ms long, kind int"
+    columns = ("ms", "kind")
 
     def __init__(self, silence: int, expiry: int, cleanup: int):
         self.limits = (silence, expiry, cleanup)
@@ -128,12 +137,12 @@ class Watching(Reordered):
 
     def release(self, key, rows, watermark):
         clock = MemberClock(*self.limits, *(self.status.get() if self.status.exists() else (None, 0)))
-        told = [t for ms, kind in rows for t in clock.sign(ms, kind)] + clock.until(watermark + 1)
+        told = [t for ms, kind in rows.tolist() for t in clock.sign(ms, kind)] + clock.until(watermark + 1)
         if clock.status is None:
             self.status.clear()
         else:
             self.status.update((clock.status, clock.since))
-        out = pd.DataFrame({"host": key[0], "ms": [t for t, _ in told], "status": [s for _, s in told]})
+        out = pd.DataFrame({"host": key[0], "ms": [t for t, _ in told], "status": [s for _, s in told]}) if told else None
         return out, clock.deadline()
 
 

@@ -129,7 +129,7 @@ def written_in_turn(df: DataFrame, path: str, part: Column, parts: int) -> None:
     """The frame as ``parts`` batches of files, one after another, for a stream that takes a batch at a time."""
     dealt = df.withColumn("_part", part)
     for i in range(parts):
-        dealt.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+        dealt.where(F.col("_part") == i).drop("_part").repartition(1).write.mode("append").parquet(path)
 
 
 def in_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
