@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import simhash
 
@@ -107,3 +108,46 @@ def test_short_texts_at_exactly_the_least_similarity(spark):
     for words in np.array(WORDS)[draw.integers(len(WORDS), size=(20_000, 9))]:
         rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:8]))]
     assert linked(spark, rows) == {i: i - i % 2 for i, _ in rows}
+
+
+def met_texts(spark, texts):
+    """What meetings() takes: all texts by themselves but for the first 61, which are linked."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
+    labels = spark.createDataFrame([(i, 0 if i <= 60 else i) for i in range(len(texts))], "node long, label long")
+    prints = rows.mapInArrow(simhash._wide_fingerprints(5), "text_id long, high long, low long, h long, l long").select("text_id", "h", "l")
+    return simhash.with_leads(simhash.crossing_prefixes(rows, labels, len(texts), 5, 0.8)).join(prints, "text_id").localCheckpoint(), labels
+
+
+def family(changes):
+    """A text, and copies of it with as many single words changed, each in places of its own."""
+    draw = np.random.default_rng(17)
+    template = list(draw.choice(WORDS, 400, replace=False))
+    texts = [" ".join(template)]
+    for n in changes:
+        words = template.copy()
+        for at in draw.choice(80, n, replace=False):
+            words[5 * at] = f"own{len(texts)}x{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_guides_are_the_texts_that_others_are_copies_of(spark):
+    """Thirty outsiders are similar to the template alone, one text of 61 that are linked."""
+    texts = family([5] * 60 + [8] * 30)
+    sets = [shingle_set(t, 5) for t in texts]
+    alike = {(j, i) for i in range(61, 91) for j in range(61) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert alike == {(0, i) for i in range(61, 91)}
+    met, labels = met_texts(spark, texts)
+    found = {(r["a"], r["b"]) for r in simhash.meeting_links(met, labels, 0.8, simhash.GUIDES, 0).collect()}
+    assert alike <= found
+
+
+def test_a_pair_meets_in_few_shingles(spark, monkeypatch):
+    """Of pairs that share most of their shingles, none of them common in the sample, none is lost and few are made often."""
+    monkeypatch.setattr(simhash, "COMMON", 1000)
+    met, labels = met_texts(spark, family([5] * 60 + [8] * 15))
+    made = simhash.meetings(met, labels, 0.8)
+    plain = simhash.meetings(met.withColumn("lead", F.array().cast("array<bigint>")), labels, 0.8)
+    pairs = {tuple(r) for r in made.distinct().collect()}
+    assert pairs == {tuple(r) for r in plain.distinct().collect()} and len(pairs) > 800
+    assert made.count() <= (simhash.LEADS + 1) * len(pairs) and made.count() < plain.count() / 3

@@ -24,6 +24,8 @@ SAMPLED, COMMON, MOST_COMMON = 20_000, 5, 200_000
 KNOWN_WORDS = 100_000
 #: Texts of a shingle's largest label that others meet in a guided round, and the number of such rounds.
 GUIDES, GUIDED_ROUNDS = 4, 2
+#: First shingles of a text by which a pair that has met already is known.
+LEADS = 3
 #: Shingles of two texts together from which one number says how far their fingerprints may be apart.
 LEAST_PRINTED = 60
 
@@ -300,28 +302,59 @@ def apart(least: float) -> list[int]:
     return [*cuts, int(128 * share + 5 * math.sqrt(128 * share * (1 - share)))]
 
 
-def meeting_links(met: DataFrame, labels: DataFrame, least: float, guides: int | None = None, seed: int = 0) -> DataFrame:
-    """Links (a, b) of texts of different labels that meet in a prefix shingle and may be similar.
+def middles(met: DataFrame) -> DataFrame:
+    """(token, middle_h, middle_l): of the fingerprints (h, l) that meet in a shingle, each bit that over half of them have.
+
+    Near copies of one text differ in places of their own, so this is the fingerprint of what they are copies of.
+    """
+    # One sum counts two bits, 32 places apart.
+    pairs = [F.sum(F.expr(f"shiftrightunsigned({c}, {i}) & 4294967297L")).alias(f"{c}{i}") for c in "hl" for i in range(32)]
+    counted = met.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), *pairs)
+    bit = lambda count, i: f"if(2 * ({count}) > texts, shiftleft(1L, {i}), 0L)"
+    middle = lambda c: " | ".join(bit(f"{c}{i} & 4294967295L", i) + " | " + bit(f"shiftrightunsigned({c}{i}, 32)", i + 32) for i in range(32))
+    return counted.selectExpr("token", f"{middle('h')} as middle_h", f"{middle('l')} as middle_l")
+
+
+def with_leads(crossing: DataFrame) -> DataFrame:
+    """``crossing`` with the array ``lead`` of the crossing shingles among the first ``LEADS`` of each text."""
+    leads = crossing.where(f"place < {LEADS}").groupBy("text_id").agg(F.collect_list("token").alias("lead"))
+    return crossing.join(leads, "text_id", "left").withColumn("lead", F.coalesce("lead", F.array().cast("array<bigint>")))
+
+
+def meetings(met: DataFrame, labels: DataFrame, least: float, guides: int | None = None, seed: int = 0) -> DataFrame:
+    """Links (a, b), some repeated, of texts of different labels that meet in a prefix shingle and may be similar.
 
     Of a shingle the texts outside its largest label meet all others; with ``guides``, only so
-    many of the largest label, and only in crowded shingles, so that links are in proportion to
-    the texts. A shingle counts for two texts if it may be the first they share, and their
-    fingerprints must not be further ``apart`` than similar texts of as many shingles have them.
+    many of the largest label, those whose fingerprints are nearest to its middle, and only in
+    crowded shingles, so that links are in proportion to the texts. A shingle counts for two texts if it may
+    be the first they share, and their fingerprints must not be further ``apart`` than similar texts
+    of as many shingles have them. Without guides, texts that share one of their first ``LEADS``
+    shingles meet in none behind those: shingles have one order, so the first shared one always counts.
     """
     met = relabelled(met, labels)
     sizes = met.groupBy("token", "label").count()
-    main = sizes.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("crowd")).where(f"labels > 1 and crowd > {8 * guides if guides else 1}").drop("labels", "crowd")
+    main = sizes.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("crowd")).where(f"labels > 1 and crowd > {2 * guides if guides else 1}").drop("labels", "crowd")
     held = met.join(main, "token")
-    x = held.where("label <> main").select("token", F.col("text_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("label").alias("lx"), "main", F.col("h").alias("hx"), F.col("l").alias("wx"))
-    y = held.select("token", F.col("text_id").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"), F.col("h").alias("hy"), F.col("l").alias("wy"))
+    x = held.where("label <> main").select("token", F.col("text_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("label").alias("lx"), "main", F.col("h").alias("hx"), F.col("l").alias("wx"), F.col("lead").alias("leadx"))
+    y = held.select("token", F.col("text_id").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("label").alias("ly"), F.col("h").alias("hy"), F.col("l").alias("wy"), F.col("lead").alias("leady"))
     if guides:
-        of_main = held.where("label = main").groupBy("token").agg(F.array_distinct(F.array(*[F.min_by(F.struct("text_id", "n", "place", "label", "h", "l"), F.xxhash64("text_id", F.lit(seed * guides + i))) for i in range(guides)])).alias("of"))
-        y = of_main.select("token", F.explode("of").alias("g")).select("token", F.col("g.text_id").alias("y"), F.col("g.n").alias("ny"), F.col("g.place").alias("py"), F.col("g.label").alias("ly"), F.col("g.h").alias("hy"), F.col("g.l").alias("wy"))
+        of_main = held.where("label = main")
+        apart_by = F.expr("bit_count(h ^ middle_h) + bit_count(l ^ middle_l)")
+        part = F.pmod(F.xxhash64("text_id", F.lit(seed)), F.lit(guides))
+        nearest = [F.min_by(F.struct("text_id", "n", "place", "label", "h", "l"), F.when(part == i, F.struct(apart_by, "text_id"))) for i in range(guides)]
+        guided = of_main.join(middles(of_main), "token").groupBy("token").agg(F.array_compact(F.array(*nearest)).alias("of"))
+        y = guided.select("token", F.explode("of").alias("g")).select("token", F.col("g.text_id").alias("y"), F.col("g.n").alias("ny"), F.col("g.place").alias("py"), F.col("g.label").alias("ly"), F.col("g.h").alias("hy"), F.col("g.l").alias("wy"))
     # Similar texts share so many shingles; from the first they share on, each has that many left.
     shared = f"ceil((nx + ny) * {least / (1 + least)!r} - 1e-9)"
     alike = f"bit_count(hx ^ hy) + bit_count(wx ^ wy) <= array({', '.join(map(str, apart(least)))})[cast(least(nx + ny, {LEAST_PRINTED}) as int)]"
-    pairs = x.join(y, "token").where(f"lx <> ly and (ly = main or x < y) and nx - px >= {shared} and ny - py >= {shared} and {alike}")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    new = "true" if guides else f"(px < {LEADS} or not arrays_overlap(leadx, leady))"
+    pairs = x.join(y, "token").where(f"lx <> ly and (ly = main or x < y) and nx - px >= {shared} and ny - py >= {shared} and {alike} and {new}")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def meeting_links(met: DataFrame, labels: DataFrame, least: float, guides: int | None = None, seed: int = 0) -> DataFrame:
+    """The distinct links of ``meetings``."""
+    return meetings(met, labels, least, guides, seed).distinct()
 
 
 def similar_rows(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -349,7 +382,7 @@ def similar_rows(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> DataF
 
     similar = verified(candidate_links(prints, bits))
     labels = materialise(components(nodes, similar), "text-labels")
-    met = materialise(crossing_prefixes(distinct, labels, texts, shingle, least).join(prints.select("text_id", F.col("high_s").alias("h"), F.col("low_s").alias("l")), "text_id"), "crossing-fingerprints")
+    met = materialise(with_leads(crossing_prefixes(distinct, labels, texts, shingle, least)).join(prints.select("text_id", F.col("high_s").alias("h"), F.col("low_s").alias("l")), "text_id"), "crossing-fingerprints")
     # Guided rounds connect what they can of crowded shingles; the last round compares all that is left.
     for seed, guides in enumerate((*[GUIDES] * GUIDED_ROUNDS, None)):
         more = verified(meeting_links(met, labels, least, guides, seed))
